@@ -64,7 +64,7 @@ def links(nodes: DataFrame, most: int = 3) -> DataFrame:
     above = "filter(transform(sequence(0, 31), i -> half | shiftleft(1L, i)), x -> x != half)"
     probes = parts.selectExpr("fp AS a", "seg", "half AS own", f"explode(concat(array(half), {above})) AS half").selectExpr("a", "seg", "half", "own = half AS same")
     return (
-        probes.join(parts.withColumnRenamed("fp", "b"), ["seg", "half"])
+        probes.join(parts.withColumnRenamed("fp", "b").hint("merge"), ["seg", "half"])
         .filter((F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most) & (F.col("a") != F.col("b")) & (~F.col("same") | (F.col("a") < F.col("b"))))
         .select("a", "b")
     )
