@@ -81,7 +81,8 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_lines: int = LEAST_LINES, least_words: int = LEAST_WORDS) -> DataFrame:
-    """All columns of docs, the text without its repeated runs, and n_lines and n_deleted (lines that are not blank)."""
+    """All columns of docs, the text without its repeated runs, and n_lines and n_deleted (lines that are not blank), before which input columns of these names give way."""
+    docs = docs.drop("n_lines", "n_deleted")
     gone = repeated_windows(docs, id_col, text_col, least_lines, least_words).groupBy("_id", "_key").agg(F.collect_set(F.struct("start", "length")).alias("_gone")).withColumnsRenamed({"_id": "_gone_id", "_key": "_gone_key"})
     keyed = docs.withColumn("_key", F.xxhash64(id_col, text_col))
     joined = keyed.join(gone, (F.col("_key") == F.col("_gone_key")) & F.col(id_col).eqNullSafe(F.col("_gone_id")), "left").select(*docs.columns, "_gone")
