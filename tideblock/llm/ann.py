@@ -174,7 +174,7 @@ def build_index(vectors: DataFrame, k: int, id_col: str, vec_col: str) -> DataFr
     counts = F.create_map(*[F.lit(x) for d, (n, _) in sizes.items() for x in (d, -(-n // SHARD_ROWS))]) if sizes else F.create_map(F.lit(0), F.lit(1))
     sharded = nodes.withColumn("n_shards", counts[F.col("dim")]).withColumn("shard", F.pmod(F.xxhash64("vector"), F.col("n_shards")).cast("int"))
 
-    def make(key, table: pa.Table) -> pa.Table:
+    def make(key, table):
         dim, shard, n_shards = (x.as_py() for x in key)
         order = np.argsort([x[0] for x in table.column("ids").to_pylist()], kind="stable")
         table = table.take(pa.array(order))
@@ -209,7 +209,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     )
     graphs = index.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
 
-    def find(left: pa.Table, right: pa.Table) -> pa.Table:
+    def find(left, right):
         out = {"asked": [], "id": [], "score": []}
         if left.num_rows and right.num_rows:
             r = {c: left.column(c)[0].as_py() for c in left.column_names}
