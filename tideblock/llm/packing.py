@@ -26,8 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import sliced, texts_of, written
-from .tokens import token_bytes
+from .common import sliced, written
+from .tokens import SLICE_BYTES, token_ids
 
 
 class Available:
@@ -156,22 +156,24 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: in
     """A row for each piece, with the partition it was made in (part) and its rank there among pieces of its length (nth)."""
     kind = docs.schema[id_col].dataType.simpleString()
     end = struct.pack("<I", end_id)
-    step = 4 * capacity
 
     def run(batches):
         part, seen = TaskContext.get().partitionId(), Counter()
-        for rows in sliced(batches, text_col):
+        for rows in sliced(batches, text_col, SLICE_BYTES):
             at, piece, start, length, crc, nth = [], [], [], [], [], []
-            for i, ids in enumerate(token_bytes(vocabulary, texts_of(rows.column(text_col)))):
-                ids += end
-                for k, s in enumerate(range(0, len(ids), step)):
-                    own = ids[s : s + step]
-                    n = len(own) // 4
+            ids, bounds = token_ids(vocabulary, rows.column(text_col))
+            raw, bounds = memoryview(ids).cast("B"), bounds.tolist()
+            for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
+                size = b - a + 1  # with the end id
+                for k, s in enumerate(range(0, size, capacity)):
+                    n = min(capacity, size - s)
+                    last = s + n == size
+                    got = zlib.crc32(raw[4 * (a + s) : 4 * (a + s + n - last)])
                     at.append(i)
                     piece.append(k)
-                    start.append(s // 4)
+                    start.append(s)
                     length.append(n)
-                    crc.append(zlib.crc32(own))
+                    crc.append(zlib.crc32(end, got) if last else got)
                     nth.append(seen[n])
                     seen[n] += 1
             made = [pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc)), pa.array([part] * len(at), pa.int32()), pa.array(nth, pa.int64())]

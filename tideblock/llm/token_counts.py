@@ -10,21 +10,22 @@ its pieces.
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import sliced, texts_of
-from .tokens import token_counts
+from .common import sliced
+from .tokens import SLICE_BYTES, token_counts
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes, n_tokens, over_limit of each row; batches go to the library balanced by bytes, texts cut at safe places."""
 
     def run(batches):
-        for part in sliced(batches, text_col):
-            texts = texts_of(part.column(text_col))
-            counts = pa.array(token_counts(vocabulary, texts), pa.int64())
-            sizes = pa.array([len(x.encode()) for x in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(id_col), sizes, counts, pa.array([n > limit for n in counts.to_pylist()], pa.bool_())], [id_col, "n_bytes", "n_tokens", "over_limit"])
+        for part in sliced(batches, text_col, SLICE_BYTES):
+            texts = part.column(text_col)
+            counts = token_counts(vocabulary, texts)
+            sizes = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(id_col), sizes, pa.array(counts), pa.array(counts > limit)], [id_col, "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")

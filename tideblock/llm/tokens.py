@@ -1,8 +1,9 @@
 """Exact encoding with remembered pieces.
 
 A text is cut where the pre-tokenizer cuts as well, whatever stands around the
-place; the library encodes each piece that is not remembered, all those of a
-slice in one batch call, and a text's ids are its pieces' ids in order.
+place. The pieces of a slice of texts are numbered by Arrow, so Python sees each
+different piece once; those that are not remembered go to the vocabulary's library
+in one call, and a text's ids are its pieces' ids in order.
 """
 
 from __future__ import annotations
@@ -11,89 +12,83 @@ import json
 import os
 import re
 from array import array
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
+#: A letter that normalization leaves a letter, then ASCII punctuation: either pre-tokenizer cuts between them.
+_LETTER_AND_MARK = r"([A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{24f}])([!-/:-@\[-`{-~])"
 #: A space between two characters that are no white space starts a byte-level piece.
 _SPACED = re.compile(r"(?<=\S)(?= \S)")
-_BESIDE_SPACE = re.compile(r" \s|\s ")
-#: Letters that normalization leaves letters, then ASCII punctuation: two pieces for either pre-tokenizer.
-_WORD_AND_MARKS = re.compile(r"( ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+)([!-/:-@\[-`{-~]+)")
+_WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_BESIDE_SPACE = rf" {_WHITE}|{_WHITE} |\x00|<\|"
+#: What could come out otherwise if A-Z were lower-cased before normalization: marks that join a letter, and special strings.
+_AS_IT_IS = r"[\x{300}-\x{36f}]|<\|"
 #: Pieces that one generation of the memory holds, and the longest piece that is remembered.
 MEMORY = 400_000
 LONGEST = 64
+#: Bytes of text in a slice, and pieces whose ids are gathered at once.
+SLICE_BYTES = 8 << 20
+GATHERED = 1 << 18
 
 
-def cut_before_spaces(text: str) -> list[str]:
+def cut_before_spaces(texts: pa.Array) -> pa.ListArray:
     """Pieces for a byte-level pre-tokenizer, each with its leading space.
 
-    Single spaces between other characters are the cuts. Where white space runs
-    together, only places with no other white space beside them count.
+    Cuts are single spaces between other characters, and places between a letter and
+    a mark. In texts where white space runs together or special strings may stand,
+    only spaces with no other white space beside them count.
     """
-    if _BESIDE_SPACE.search(text):
-        return _SPACED.split(text)
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]]
+    slow = pc.match_substring_regex(texts, _BESIDE_SPACE)
+    cut = pc.split_pattern(pc.replace_substring_regex(pc.replace_substring(texts, " ", "\x00 "), _LETTER_AND_MARK, "\\1\x00\\2"), "\x00")
+    if not pc.any(slow).as_py():
+        return cut
+    at = pc.indices_nonzero(slow)
+    own = pa.array([_SPACED.split(x) for x in texts.take(at).to_pylist()], cut.type)
+    order = np.arange(len(texts))
+    order[at.to_numpy()] = len(texts) + np.arange(len(at))
+    return pa.concat_arrays([cut, own]).take(pa.array(order))
 
 
-def cut_at_spaces(text: str) -> list[str]:
-    """Pieces for a pre-tokenizer that drops white space."""
-    return text.replace("\n", " ").split(" ")
+def cut_at_spaces(texts: pa.Array) -> pa.ListArray:
+    """Pieces for a pre-tokenizer that drops white space, after a normalizer that lower-cases; A-Z are lower-cased here, so that more pieces are equal, and cuts between a letter and a mark are spaces too."""
+    low = pc.if_else(pc.match_substring_regex(texts, _AS_IT_IS), texts, pc.replace_substring_regex(pc.ascii_lower(texts), _LETTER_AND_MARK, "\\1 \\2"))
+    return pc.split_pattern(pc.replace_substring(low, "\n", " "), " ")
 
 
 class Remembering:
-    """encode(texts) gives each text's `value(ids)` pieces, joined. One object serves a Python worker.
+    """Values of pieces. One object serves a Python worker.
 
     Two generations of at most MEMORY pieces bound the memory; a piece in use
-    moves to the younger one when the older is dropped.
+    moves to the younger one when the older is dropped. encode(pieces) gives a value
+    for each piece.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list], cut: Callable[[str], list[str]], nothing: object):
-        self.encode, self.cut = encode, cut
-        self.young: dict[str, object] = {"": nothing}
-        self.old: dict[str, object] = {}
-
-    def _learn(self, missing: set[str]) -> dict[str, object]:
-        """Remember the missing pieces; those too long to keep are returned."""
-        old, young, extra = self.old, self.young, {}
-        wanted, two = {}, {}
-        for piece in missing:
-            if piece in old:
-                young[piece] = old[piece]
-            elif m := _WORD_AND_MARKS.fullmatch(piece):
-                two[piece] = m.groups()
-            else:
-                wanted[piece] = None
-        for parts in two.values():
-            for part in parts:
-                if part not in young:
-                    if part in old:
-                        young[part] = old[part]
-                    else:
-                        wanted[part] = None
-        pieces = list(wanted)
-        for piece, value in zip(pieces, self.encode(pieces), strict=True):
-            (young if len(piece) <= LONGEST else extra)[piece] = value
-        for piece, (a, b) in two.items():
-            (young if len(piece) <= LONGEST else extra)[piece] = (young[a] if a in young else extra[a]) + (young[b] if b in young else extra[b])
-        return extra
-
-    def pieces(self, texts: Iterable[str]) -> list[list[object]]:
-        """For each text, the values of its pieces."""
-        cut = [self.cut(x) for x in texts]
-        if len(self.young) > MEMORY:
-            self.old, self.young = self.young, {"": self.young[""]}
-        missing: set[str] = set()
-        for x in cut:
-            missing.update(x)
-        missing.difference_update(self.young)
-        extra = self._learn(missing) if missing else {}
-        get = self.young.__getitem__ if not extra else (self.young | extra).__getitem__
-        return [list(map(get, x)) for x in cut]
-
+    def __init__(self, encode: Callable[[list[str]], list], cut: Callable[[pa.Array], pa.ListArray] | None, nothing: object):
+        self.encode, self.cut, self.nothing = encode, cut, nothing
+        self.young, self.old = {"": nothing}, {}
 
-_workers: dict[tuple, Remembering] = {}
+    def values(self, pieces: list[str]) -> list:
+        """The value of each piece; the pieces differ."""
+        if len(self.young) > MEMORY:
+            self.old, self.young = self.young, {"": self.nothing}
+        found = list(map(self.young.get, pieces))
+        missing = [p for p, v in zip(pieces, found, strict=True) if v is None]
+        if not missing:
+            return found
+        got = self._learn(missing)
+        return [got[p] if v is None else v for p, v in zip(pieces, found, strict=True)]
+
+    def _learn(self, missing: list[str]) -> dict[str, object]:
+        """Values of pieces that the younger generation lacks; short ones are remembered."""
+        found = list(map(self.old.get, missing))
+        wanted = [p for p, v in zip(missing, found, strict=True) if v is None]
+        got = {p: v for p, v in zip(missing, found, strict=True) if v is not None}
+        got.update(zip(wanted, self.encode(wanted), strict=True))
+        self.young.update(got if max(map(len, got)) <= LONGEST else {k: v for k, v in got.items() if len(k) <= LONGEST})
+        return got
 
 
 def _library(path: str, lengths: bool) -> Callable[[list[str]], list]:
@@ -115,7 +110,7 @@ def _library(path: str, lengths: bool) -> Callable[[list[str]], list]:
 
     def encode(pieces: list[str]) -> list:
         """All plain pieces in one call, as the words of one text; pieces with special strings each as a text of its own."""
-        apart = [(i, x) for i, x in enumerate(pieces) if special and specials.search(x)]
+        apart = [(i, x) for i, x in enumerate(pieces) if specials.search(x)] if special and specials.search("\n".join(pieces)) else []
         words = list(pieces)
         for i, _ in apart:
             words[i] = ""
@@ -127,15 +122,15 @@ def _library(path: str, lengths: bool) -> Callable[[list[str]], list]:
         else:
             ids = array("I", found.ids).tobytes()
             out = [ids[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        for (i, piece), x in zip(apart, model.encode_batch_fast([x for _, x in apart], add_special_tokens=False), strict=True):
+        for (i, _), x in zip(apart, model.encode_batch_fast([x for _, x in apart], add_special_tokens=False), strict=True):
             out[i] = value(x.ids)
         return out
 
     return encode
 
 
-def cutter(path: str) -> Callable[[str], list[str]]:
-    """How a vocabulary's texts may be cut; whole texts where nothing is known of its pre-tokenizer."""
+def cutter(path: str) -> Callable[[pa.Array], pa.ListArray] | None:
+    """How a vocabulary's texts may be cut; None, for whole texts, where nothing is known of its pre-tokenizer."""
     if path.endswith(".json"):
         with open(path, encoding="utf-8") as f:
             rules = json.load(f)
@@ -143,9 +138,12 @@ def cutter(path: str) -> Callable[[str], list[str]]:
         if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and not rules.get("normalizer"):
             return cut_before_spaces
         first = (pre.get("pretokenizers") or [{}])[0]
-        if first.get("type") == "Split" and first.get("invert") and first.get("behavior") == "Removed" and {x["type"] for x in steps} <= {"NFC", "Replace", "Lowercase"}:
+        if first.get("type") == "Split" and first.get("invert") and first.get("behavior") == "Removed" and [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"]:
             return cut_at_spaces
-    return lambda text: [text]
+    return None
+
+
+_workers: dict[tuple, Remembering] = {}
 
 
 def _worker(path: str, kind: str) -> Remembering:
@@ -155,10 +153,41 @@ def _worker(path: str, kind: str) -> Remembering:
     return _workers[path, kind]
 
 
-def token_bytes(path: str, texts: list[str]) -> list[bytes]:
-    """Ids of each text as little-endian unsigned 32-bit integers."""
-    return [b"".join(x) for x in _worker(path, "ids").pieces(texts)]
-
-
-def token_counts(path: str, texts: list[str]) -> list[int]:
-    return [sum(x) for x in _worker(path, "lengths").pieces(texts)]
+def _pieces(own: Remembering, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Ends of the texts among their pieces (from 0 on), number of each piece, and the different pieces."""
+    whole = texts.cast(pa.large_string()).take(pa.array(np.arange(len(texts))))  # a copy without offset, as ascii_lower misplaces those of slices
+    cut = own.cut(pc.fill_null(whole, ""))
+    flat = cut.flatten().dictionary_encode()
+    return np.asarray(cut.offsets) - cut.offsets[0].as_py(), flat.indices.to_numpy(), flat.dictionary.to_numpy(zero_copy_only=False).tolist()
+
+
+def token_ids(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts one after the other as 32-bit integers, and where each text begins, with the end of the last. Null texts have no ids."""
+    own = _worker(path, "ids")
+    if own.cut is None:
+        each = own.encode([x or "" for x in texts.to_pylist()])
+        sizes = np.array([len(x) // 4 for x in each], np.int64)
+        return np.frombuffer(b"".join(each), "<u4"), np.concatenate(([0], np.cumsum(sizes)))
+    bounds, numbers, pieces = _pieces(own, texts)
+    values = own.values(pieces)
+    sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+    first = np.cumsum(sizes) - sizes
+    known = np.frombuffer(b"".join(values), "<u4")
+    ends = np.concatenate(([0], np.cumsum(sizes[numbers])))
+    out = np.empty(int(ends[-1]), np.uint32)
+    for s in range(0, len(numbers), GATHERED):
+        some = numbers[s : s + GATHERED]
+        n = sizes[some]
+        a, b = int(ends[s]), int(ends[s + len(some)])
+        out[a:b] = known[np.repeat(first[some] - (ends[s : s + len(some)] - a), n) + np.arange(b - a)]
+    return out, ends[bounds]
+
+
+def token_counts(path: str, texts: pa.Array) -> np.ndarray:
+    """How many ids each text has."""
+    own = _worker(path, "lengths")
+    if own.cut is None:
+        return np.array(own.encode([x or "" for x in texts.to_pylist()]), np.int64)
+    bounds, numbers, pieces = _pieces(own, texts)
+    total = np.concatenate(([0], np.cumsum(np.array(own.values(pieces), np.int64)[numbers])))[bounds]
+    return total[1:] - total[:-1]
