@@ -53,15 +53,14 @@ def linear_where(slope: Column, offset: Column, n: Column, op: str, threshold: f
         hits = [F.when((at + d >= 0) & (at + d < n) & predicate(line(at + d), op, threshold), F.lit(1)).otherwise(0) for d in (-1, 0, 1, 2)]
         count = F.when(flat, F.when(predicate(offset, op, threshold), n).otherwise(0)).otherwise(sum(hits[1:], hits[0]))
         return count * F.lit(float(threshold)), count.cast("long")
-    # the first place (of a rising answer) or the last (of a falling one) lies among four around the crossing
+    # the first place (of a rising answer) or the last (of a falling one) lies among four around the crossing, or at the end nearest to it
     rising = (slope > 0) if op in (">", ">=", "gt", "gte") else (slope < 0)
-    near = F.transform(F.sequence(at - 1, at + 2), lambda t: F.greatest(F.lit(0).cast("long"), F.least(n.cast("long"), t)))
-    holds = lambda t: (t >= 0) & (t < n) & predicate(line(t), op, threshold)
-    first = F.coalesce(F.array_min(F.filter(near, holds)), F.when(at < 0, F.lit(0).cast("long")).otherwise(n.cast("long")))
-    last = F.coalesce(F.array_max(F.filter(near, holds)), F.when(at < 0, F.lit(-1).cast("long")).otherwise(n.cast("long") - 1))
+    near = F.transform(F.sequence(at - 1, at + 2), lambda t: F.greatest(F.lit(0).cast("long"), F.least(n.cast("long") - 1, t)))
+    hits = F.filter(near, lambda t: predicate(line(t), op, threshold))
+    first, last = F.coalesce(F.array_min(hits), n.cast("long")), F.coalesce(F.array_max(hits), F.lit(-1).cast("long"))
     all_or_none = predicate(offset, op, threshold)
     s = F.when(flat, F.when(all_or_none, 0).otherwise(n)).when(rising, first).otherwise(0)
-    e = F.when(flat, n - 1).when(rising, n - 1).otherwise(F.least(last, n.cast("long") - 1))
+    e = F.when(flat, n - 1).when(rising, n - 1).otherwise(last)
     count = F.greatest(F.lit(0).cast("long"), e - s + 1)
     return F.when(count > 0, linear_partial_sum(slope, offset, s, e)).otherwise(0.0), count.cast("long")
 
