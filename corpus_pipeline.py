@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideblock.llm import decontaminate, line_dedup, packing, quality, simhash
-from tideblock.llm.common import table, written
+from tideblock.llm.common import fresh, table, written
 
 
 def _wrapped(docs: DataFrame) -> DataFrame:
@@ -37,13 +37,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each group of near copies the document with the smallest doc_id; of rows with one id, the one with the smallest text hash. Rows without an id stay."""
     firsts = simhash.near_groups(docs).filter("doc_id = component_id").select("doc_id").distinct()
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    named = docs.join(firsts, "doc_id", "left_semi").withColumn("_nth", F.row_number().over(order)).filter("_nth = 1").select(*docs.columns)
+    nth = fresh(docs, "_nth")
+    named = docs.join(firsts, "doc_id", "left_semi").withColumn(nth, F.row_number().over(order)).filter(F.col(nth) == 1).select(*docs.columns)
     return named.unionByName(docs.filter("doc_id IS NULL"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that do not hold windows of two benchmark items or more."""
-    judged = decontaminate.contamination(_wrapped(docs), table(spark, sf_dir, "benchmark"), id_col="doc")
+    """Documents that hold no window of any benchmark item: one leaked item is enough to go."""
+    judged = decontaminate.contamination(_wrapped(docs), table(spark, sf_dir, "benchmark"), id_col="doc", least_items=1)
     return judged.filter("NOT contaminated").select("doc.*")
 
 

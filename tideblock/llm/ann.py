@@ -12,8 +12,9 @@ Equal vectors are one node: of each, the smallest ids are kept as far as a resul
 can hold them, counted before anything is shuffled, so a vector that fills a third
 of the table costs one node. Equal queries are searched once.
 
-Vectors that are null, zero or hold null or non-finite components take no part;
-vectors of different lengths are searched apart. With fewer candidates than `k`
+Vectors that are null, zero or hold null or non-finite components, and rows without
+an id, take no part; rows repeated with id and vector count once. Vectors of
+different lengths are searched apart. With fewer candidates than `k`
 all are returned, an empty table gives no rows. Only id and vector are read.
 """
 
@@ -168,8 +169,8 @@ def usable(vector: str) -> str:
 def build_index(vectors: DataFrame, k: int, id_col: str, vec_col: str) -> DataFrame:
     """A row for each shard: dim, shard, n_shards of its dimension, and the parts of its graph. vectors are usable."""
     copies = Window.partitionBy(vec_col).orderBy(id_col)
-    few = vectors.select(id_col, vec_col).withColumn("_nth", F.row_number().over(copies)).filter(F.col("_nth") <= k + 1)
-    nodes = written(few.groupBy(F.col(vec_col).alias("vector")).agg(F.array_sort(F.collect_list(id_col)).alias("ids")).withColumn("dim", F.size("vector")), "vectors")
+    few = vectors.select(F.col(id_col).cast("long").alias(id_col), vec_col).withColumn("_nth", F.dense_rank().over(copies)).filter(F.col("_nth") <= k + 1)
+    nodes = written(few.groupBy(F.col(vec_col).alias("vector")).agg(F.array_sort(F.collect_set(id_col)).alias("ids")).withColumn("dim", F.size("vector")), "vectors")
     sizes = {r["dim"]: (r["n"], r["top"]) for r in nodes.groupBy("dim").agg(F.count("*").alias("n"), F.max(F.expr("aggregate(vector, 0D, (a, x) -> a + double(x) * double(x))")).alias("top")).collect()}  # a row for each length of vectors
     counts = F.create_map(*[F.lit(x) for d, (n, _) in sizes.items() for x in (d, -(-n // SHARD_ROWS))]) if sizes else F.create_map(F.lit(0), F.lit(1))
     sharded = nodes.withColumn("n_shards", counts[F.col("dim")]).withColumn("shard", F.pmod(F.xxhash64("vector"), F.col("n_shards")).cast("int"))
@@ -196,8 +197,8 @@ def build_index(vectors: DataFrame, k: int, id_col: str, vec_col: str) -> DataFr
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", beam: int = SEARCH_BEAM) -> DataFrame:
     """query_id, rank from 1, id and score of the k largest inner products found for each usable row of queries, its own id left out; ties go to smaller ids."""
-    index = build_index(vectors.filter(usable(vec_col)), k, id_col, vec_col)
-    asked = queries.filter(usable(vec_col)).select(F.col(id_col).cast("long").alias("query_id"), F.col(vec_col).alias("vector"))
+    index = build_index(vectors.filter(usable(vec_col)).filter(F.col(id_col).isNotNull()), k, id_col, vec_col)
+    asked = queries.filter(usable(vec_col)).filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("query_id"), F.col(vec_col).alias("vector")).distinct()
     distinct = written(asked.groupBy("vector").agg(F.min("query_id").alias("asked")).withColumn("dim", F.size("vector")), "queries")
     groups = max(1, -(-distinct.count() // GROUP_QUERIES))
     shards = index.select("dim", "n_shards").distinct()  # a row for each length of vectors
@@ -242,5 +243,5 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     found = graphs.groupBy(*key).cogroup(ask.groupBy(*key)).applyInArrow(find, "asked long, id long, score double")
     best = found.withColumn("_n", F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "id"))).filter(F.col("_n") <= k + 1).select("asked", "id", "score")
     rows = asked.join(distinct.select("vector", "asked"), "vector").select("query_id", "asked").join(best, "asked").filter("id != query_id")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    order = Window.partitionBy("query_id", "asked").orderBy(F.desc("score"), "id")
     return rows.select("query_id", F.row_number().over(order).alias("rank"), F.col("id").alias(id_col), "score").filter(F.col("rank") <= k)

@@ -44,6 +44,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, or a longer one that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -51,7 +59,7 @@ def delete_path(spark: SparkSession, path: str) -> None:
 
 
 def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that a slice holds about `most` bytes of the column, one row at least."""
+    """Cut batches so that a slice holds about `most` bytes of the column, one row at least. What Arrow has freed goes back to the system after each batch."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         start = total = 0
@@ -62,6 +70,7 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
             total += n
         if start < len(sizes):
             yield batch.slice(start)
+        pa.default_memory_pool().release_unused()
 
 
 def bytes_of(column: pa.Array) -> list[bytes]:

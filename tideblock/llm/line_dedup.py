@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, sliced, written
+from .common import bytes_of, fresh, sliced, written
 
 LEAST_LINES, LEAST_WORDS = 3, 50
 
@@ -74,24 +74,26 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """_id, _key, start, length of each window that stands earlier too."""
     windows = written(_windows(docs, id_col, text_col, least_lines, least_words), "windows")
     place = F.struct("_id", "_key", "start")
-    shared = windows.groupBy("fingerprint").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("NOT (low <=> high)").select("fingerprint")
+    # the repeated ones are written, so that either side of a join is dealt for the join alone and a hot key's part can be split
+    shared = written(windows.groupBy("fingerprint").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("NOT (low <=> high)").select("fingerprint"), "shared")
     near = windows.join(shared, "fingerprint", "left_semi")
-    first = near.groupBy("whole").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("NOT (low <=> high)").select("whole", "low")
+    first = written(near.groupBy("whole").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("NOT (low <=> high)").select("whole", "low"), "first")
     return near.join(first, "whole").filter(place > F.col("low")).select("_id", "_key", "start", "length")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_lines: int = LEAST_LINES, least_words: int = LEAST_WORDS) -> DataFrame:
     """All columns of docs, the text without its repeated runs, and n_lines and n_deleted (lines that are not blank), before which input columns of these names give way."""
     docs = docs.drop("n_lines", "n_deleted")
-    gone = repeated_windows(docs, id_col, text_col, least_lines, least_words).groupBy("_id", "_key").agg(F.collect_set(F.struct("start", "length")).alias("_gone")).withColumnsRenamed({"_id": "_gone_id", "_key": "_gone_key"})
-    keyed = docs.withColumn("_key", F.xxhash64(id_col, text_col))
-    joined = keyed.join(gone, (F.col("_key") == F.col("_gone_key")) & F.col(id_col).eqNullSafe(F.col("_gone_id")), "left").select(*docs.columns, "_gone")
+    key, lost, lost_id, lost_key = (fresh(docs, x) for x in ("_key", "_lost", "_lost_id", "_lost_key"))
+    gone = repeated_windows(docs, id_col, text_col, least_lines, least_words).groupBy("_id", "_key").agg(F.collect_set(F.struct("start", "length")).alias(lost)).withColumnsRenamed({"_id": lost_id, "_key": lost_key})
+    keyed = docs.withColumn(key, F.xxhash64(id_col, text_col))
+    joined = keyed.join(gone, (F.col(key) == F.col(lost_key)) & F.col(id_col).eqNullSafe(F.col(lost_id)), "left").select(*docs.columns, lost)
     names = docs.columns
 
     def run(batches):
         for part in sliced(batches, text_col):
             kept, n_lines, n_deleted = [], [], []
-            for text, old, found in zip(bytes_of(part.column(text_col)), part.column(text_col).is_null().to_pylist(), part.column("_gone").to_pylist(), strict=True):
+            for text, old, found in zip(bytes_of(part.column(text_col)), part.column(text_col).is_null().to_pylist(), part.column(lost).to_pylist(), strict=True):
                 lines = lines_of(text)
                 n_lines.append(len(lines))
                 drop = {lines[i][0] for x in found or () for i in range(x["start"], x["start"] + x["length"])}

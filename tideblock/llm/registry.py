@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, licenses, line_dedup, packing, quality, simhash, token_counts, token_store, url_filter
+from . import ann, decontaminate, licenses, line_dedup, packing, quality, simhash, sql, token_counts, token_store, url_filter
 from .common import scratch_path, table
 
 
@@ -65,4 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_line_dedup": sql.LINE_DEDUP, "op7_url_filter": sql.URL_FILTER, "op8_decontamination": sql.DECONTAMINATION}

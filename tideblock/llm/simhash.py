@@ -81,5 +81,6 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # few fingerprints have links: the component's smallest id is found among those alone
     named = groups.join(nodes, groups.node == nodes.fp).groupBy("root").agg(F.min("first_id").alias("component_id"))
     linked = groups.join(named, "root").select(F.col("node").alias("fp"), "component_id")
-    owners = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
+    # written, so that the rows of one fingerprint are dealt for the last join alone and can be split
+    owners = written(nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id")), "owners")
     return fps.join(owners, "fp").select(id_col, "fp", "component_id")

@@ -6,8 +6,9 @@ reach will hold it:
   packs/kind=doc     one row per document, in ascending id order over the files:
                      id, row, file, local_start, n_tokens, chunks (array of struct
                      n, hash, shared), payload (the ids of its chunks that are its
-                     alone), root
+                     alone, as a Zstandard frame), root
   packs/kind=chunk   one row per chunk that several places share: hash, payload
+                     (its ids, as a Zstandard frame)
   manifest           one row per file of documents: file, start (ids before it),
                      n_tokens, n_docs, root
   head               version, width (bytes an id takes), n_tokens, root
@@ -15,7 +16,7 @@ reach will hold it:
 Ids are little-endian unsigned integers of `width` bytes, 2 where the vocabulary
 allows. A document's stream is cut where the rolling hash of its last WINDOW ids
 has its top bits zero, so streams that agree for a while cut alike; a chunk has
-LEAST to MOST ids. A chunk's address is the SHA-256 of its bytes. A document's root
+LEAST to MOST ids. A chunk's address is the SHA-256 of its ids' bytes. A document's root
 is the Merkle root over its addresses, a file's over its documents' roots, the
 store's over its files'. Reading fetches shared chunks by address, checks every
 address and every root, and fails where one differs.
@@ -33,14 +34,16 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import delete_path, scratch_path, sliced, texts_of
-from .tokens import token_bytes
+from .common import delete_path, scratch_path, sliced, written
+from .tokens import SLICE_BYTES, token_ids
 
-WINDOW, LEAST, MOST, CUT_BITS = 16, 64, 4096, 8
+WINDOW, LEAST, MOST, CUT_BITS = 8, 128, 8192, 9
 VERSION = 1
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _POWERS = np.array([pow(_MULTIPLIER, WINDOW - j, 1 << 64) for j in range(WINDOW)], np.uint64)
@@ -48,19 +51,23 @@ _CHUNKS = "array<struct<n:int,hash:binary,shared:boolean>>"
 _CHUNK = pa.struct([("n", pa.int32()), ("hash", pa.binary()), ("shared", pa.bool_())])
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of a stream."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
-    h = np.zeros(n - WINDOW + 1, np.uint64)
-    mixed = (ids.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+def marks_of(ids: np.ndarray) -> np.ndarray:
+    """Places after which the rolling hash of the last WINDOW ids allows a cut, over any stretch of ids."""
+    n = len(ids) - WINDOW + 1
+    if n <= 0:
+        return np.empty(0, np.int64)
+    mixed = ids.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     mixed ^= mixed >> np.uint64(32)
-    for j in range(WINDOW):
-        h += mixed[j : j + len(h)] * _POWERS[j]
-    wanted = (np.flatnonzero(h >> np.uint64(64 - CUT_BITS) == 0) + WINDOW).tolist()
+    h = mixed[:n] * _POWERS[0]
+    for j in range(1, WINDOW):
+        h += mixed[j : j + n] * _POWERS[j]
+    return np.flatnonzero(h >> np.uint64(64 - CUT_BITS) == 0) + WINDOW
+
+
+def cuts(n: int, marks: list[int]) -> list[int]:
+    """Ends of the chunks of a stream of n ids, from the places in it where a cut is allowed."""
     out, last = [], 0
-    for at in [*wanted, n]:
+    for at in [*marks, n]:
         while at - last > MOST:
             last += MOST
             out.append(last)
@@ -81,64 +88,86 @@ def merkle(leaves: list[bytes]) -> bytes:
 
 
 def _encoded(docs: DataFrame, vocabulary: str, end_id: int, width: int, id_col: str, text_col: str) -> DataFrame:
-    end, kind = np.array([end_id], "<u4").tobytes(), docs.schema[id_col].dataType.simpleString()
+    """Of each row: n_tokens, chunks, payload (its ids, compressed) and root."""
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        for part in sliced(batches, text_col):
-            sizes, chunks, payloads = [], [], []
-            for raw in token_bytes(vocabulary, texts_of(part.column(text_col))):
-                ids = np.frombuffer(raw + end, "<u4")
-                if width == 2 and int(ids.max()) > 0xFFFF:
-                    raise ValueError("an id does not fit the width")
-                data = ids.astype(f"<u{width}").tobytes()
-                own, last = [], 0
-                for at in cuts(ids):
-                    own.append({"n": at - last, "hash": hashlib.sha256(data[last * width : at * width]).digest(), "shared": False})
-                    last = at
-                sizes.append(len(ids))
-                chunks.append(own)
-                payloads.append(data)
-            yield pa.RecordBatch.from_arrays([part.column("_row"), part.column(id_col), pa.array(sizes, pa.int64()), pa.array(chunks, pa.list_(_CHUNK)), pa.array(payloads, pa.binary())], ["row", "id", "n_tokens", "chunks", "payload"])
-
-    return docs.select(F.monotonically_increasing_id().alias("_row"), id_col, text_col).mapInArrow(run, f"row long, id {kind}, n_tokens long, chunks {_CHUNKS}, payload binary")
+        press = zstandard.ZstdCompressor(level=1)
+        for part in sliced(batches, text_col, SLICE_BYTES):
+            own, bounds = token_ids(vocabulary, part.column(text_col))
+            ends = bounds[1:]
+            ids = np.insert(own, ends, end_id)  # every document with its end id
+            ends = ends + np.arange(1, len(ends) + 1)
+            starts = np.concatenate(([0], ends[:-1]))
+            if width == 2 and len(ids) and int(ids.max()) > 0xFFFF:
+                raise ValueError("an id does not fit the width")
+            data, marks = memoryview(ids.astype(f"<u{width}")).cast("B"), marks_of(ids)
+            marks = marks[marks - WINDOW >= starts[np.searchsorted(starts, marks - 1, "right") - 1]]  # no window over two documents
+            first = np.searchsorted(marks, starts, "right").tolist()
+            last = np.searchsorted(marks, ends, "left").tolist()
+            counts, sizes, hashes, payloads, roots = [], [], [], [], []
+            for s, e, a, b in zip(starts.tolist(), ends.tolist(), first, last, strict=True):
+                at, leaves = 0, []
+                for c in cuts(e - s, (marks[a:b] - s).tolist()):
+                    leaves.append(hashlib.sha256(data[(s + at) * width : (s + c) * width]).digest())
+                    sizes.append(c - at)
+                    at = c
+                counts.append(len(leaves))
+                hashes += leaves
+                payloads.append(press.compress(data[s * width : e * width]))
+                roots.append(merkle(leaves))
+            chunks = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32()), pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), pa.array(hashes, pa.binary()), pa.array(np.zeros(len(sizes), bool))], fields=list(_CHUNK)))
+            yield pa.RecordBatch.from_arrays([part.column("_row"), part.column(id_col), pa.array(ends - starts), chunks, pa.array(payloads, pa.binary()), pa.array(roots, pa.binary())], ["row", "id", "n_tokens", "chunks", "payload", "root"])
+
+    return docs.select(F.monotonically_increasing_id().alias("_row"), id_col, text_col).mapInArrow(run, f"row long, id {kind}, n_tokens long, chunks {_CHUNKS}, payload binary, root binary")
 
 
 def _arrange(width: int):
-    """Documents in order, each after the marks of its shared chunks, to store rows."""
+    """Documents in order, each after the marks of its shared chunks, to store rows. A document without marks is passed on as it is."""
 
     def run(batches):
-        file, start, marks, of = TaskContext.get().partitionId(), 0, {}, None
+        press, unpress = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+        file, start, marks = TaskContext.get().partitionId(), 0, {}
         for batch in sliced(batches, "payload"):
-            docs, shared = [], []
-            for r in batch.to_pylist():
-                if of != r["row"]:
-                    of, marks = r["row"], {}
-                if r["place"] is not None:
-                    marks[r["place"]] = r["owner"]
+            place, rows = batch.column("place").to_pylist(), batch.column("row").to_pylist()
+            at, changed, shared = [], {}, []
+            for i, (k, row) in enumerate(zip(place, rows, strict=True)):
+                if k is not None:  # a document's marks stand before it, perhaps in another batch
+                    marks.setdefault(row, {})[k] = batch.column("owner")[i].as_py()
                     continue
-                own, at = [], 0
-                for k, c in enumerate(r["chunks"]):
-                    data = r["payload"][at : at + c["n"] * width]
-                    at += c["n"] * width
-                    if k in marks:
-                        c["shared"] = True
-                        if marks[k]:
-                            shared.append((c["hash"], data))
-                    else:
-                        own.append(data)
-                docs.append((r["row"], r["id"], start, r["n_tokens"], r["chunks"], b"".join(own), merkle([c["hash"] for c in r["chunks"]])))
-                start += r["n_tokens"]
-            if docs or shared:
-                row, ids, starts, sizes, chunks, payloads, found = zip(*docs, strict=True) if docs else ((),) * 7
-                nothing = [None] * len(shared)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(["doc"] * len(docs) + ["chunk"] * len(shared)), pa.array([*row, *nothing], pa.int64()), pa.array([*ids, *nothing], batch.schema.field("id").type), pa.array([file] * len(docs) + nothing, pa.int32()),
-                        pa.array([*starts, *nothing], pa.int64()), pa.array([*sizes, *nothing], pa.int64()), pa.array([*chunks, *nothing], pa.list_(_CHUNK)),
-                        pa.array([*payloads, *(x for _, x in shared)], pa.binary()), pa.array([*found, *nothing], pa.binary()), pa.array([None] * len(docs) + [x for x, _ in shared], pa.binary()),
-                    ],
-                    ["kind", "row", "id", "file", "local_start", "n_tokens", "chunks", "payload", "root", "hash"],
-                )
+                at.append(i)
+                if own := marks.pop(row, None):
+                    chunks = batch.column("chunks")[i].as_py()
+                    data, s, kept = unpress.decompress(batch.column("payload")[i].as_py()), 0, []
+                    for j, c in enumerate(chunks):
+                        part = data[s : s + c["n"] * width]
+                        s += len(part)
+                        if j in own:
+                            c["shared"] = True
+                            if own[j]:
+                                shared.append((c["hash"], part))
+                        else:
+                            kept.append(part)
+                    changed[len(at) - 1] = (chunks, press.compress(b"".join(kept)))
+            docs = batch.select(["row", "id", "n_tokens", "chunks", "payload", "root"]).take(pa.array(at, pa.int64()))
+            n_tokens = docs.column("n_tokens").to_numpy()
+            local = start + np.cumsum(n_tokens) - n_tokens
+            start += int(n_tokens.sum())
+            chunks, payloads = docs.column("chunks").cast(pa.list_(_CHUNK)), docs.column("payload")
+            if changed:
+                order = np.arange(len(at))
+                order[list(changed)] = len(at) + np.arange(len(changed))
+                chunks = pa.concat_arrays([chunks, pa.array([c for c, _ in changed.values()], pa.list_(_CHUNK))]).take(pa.array(order))
+                payloads = pa.concat_arrays([payloads, pa.array([x for _, x in changed.values()], payloads.type)]).take(pa.array(order))
+            n, m = len(at), len(shared)
+            if n + m:
+                columns = {
+                    "kind": pa.array(["doc"] * n), "row": docs.column("row"), "id": docs.column("id"), "file": pa.array([file] * n, pa.int32()), "local_start": pa.array(local, pa.int64()), "n_tokens": docs.column("n_tokens"), "chunks": chunks,
+                    "payload": payloads, "root": docs.column("root"), "hash": pa.nulls(n, pa.binary()),
+                }
+                for name, values in (("kind", ["chunk"] * m), ("payload", [press.compress(x) for _, x in shared]), ("hash", [x for x, _ in shared])):
+                    columns[name] = pa.concat_arrays([columns[name], pa.array(values, columns[name].type)])
+                yield pa.RecordBatch.from_arrays([x if len(x) == n + m else pa.concat_arrays([x, pa.nulls(m, x.type)]) for x in columns.values()], list(columns))
 
     return run
 
@@ -148,19 +177,20 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, wi
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     staged_path = scratch_path(spark, "encoded")
     encoded = _encoded(docs, vocabulary, end_id, width, id_col, text_col)
-    encoded.write.option("compression", "zstd").parquet(staged_path)
+    encoded.write.option("compression", "lz4_raw").parquet(staged_path)
     staged = spark.read.schema(encoded.schema).parquet(staged_path)
     places = staged.selectExpr("row", "id", "posexplode(chunks) AS (place, chunk)").selectExpr("row", "id", "place", "chunk.hash AS hash")
     spot = F.struct("id", "row", "place")
     shared = places.groupBy("hash").agg(F.min(spot).alias("low"), F.max(spot).alias("high")).filter("NOT (low <=> high)").select("hash", "low")
+    shared = written(shared, "shared")  # so that the join's sides are dealt for it alone and a hot address can be split
     marks = places.join(shared, "hash").select("row", "id", "place", spot.eqNullSafe(F.col("low")).alias("owner"))
     both = staged.withColumns({"place": F.lit(None).cast("int"), "owner": F.lit(None).cast("boolean")}).unionByName(marks, allowMissingColumns=True)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = both.repartitionByRange(parts, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "row", F.col("place").asc_nulls_last())
-    rows = ordered.select("row", "id", "n_tokens", "chunks", "payload", "place", "owner").mapInArrow(
+    rows = ordered.select("row", "id", "n_tokens", "chunks", "payload", "root", "place", "owner").mapInArrow(
         _arrange(width), f"kind string, row long, id {kind}, file int, local_start long, n_tokens long, chunks {_CHUNKS}, payload binary, root binary, hash binary"
     )
-    rows.write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/packs")
+    rows.write.option("compression", "lz4_raw").partitionBy("kind").parquet(f"{path}/packs")
     delete_path(spark, staged_path)
     _write_manifest(spark, path, kind, width)
 
@@ -225,32 +255,40 @@ def read_store(spark: SparkSession, path: str, keep_ids: bool = False) -> DataFr
     together = some.withColumns(nothing).unionByName(fetched, allowMissingColumns=True).repartition("row").sortWithinPartitions("row", F.col("place").asc_nulls_last())
 
     def run(batches):
-        parts, of = {}, None
+        unpress, parts = zstandard.ZstdDecompressor(), {}
         for batch in sliced(batches, "payload"):
-            out = []
-            for r in batch.to_pylist():
-                if of != r["row"]:
-                    of, parts = r["row"], {}
-                if r["place"] is not None:
-                    parts[r["place"]] = r["part"]
+            rows, place = batch.column("row").to_pylist(), batch.column("place").to_pylist()
+            chunks, payloads, roots, sizes = batch.column("chunks"), batch.column("payload").to_pylist(), batch.column("root").to_pylist(), batch.column("n_tokens").to_pylist()
+            bounds, flat = np.asarray(chunks.offsets).tolist() if chunks.null_count == 0 else None, chunks.flatten()
+            if bounds is None:  # marks have no chunks
+                bounds = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(chunks), 0).to_numpy()))).tolist()
+            base = bounds[0]
+            ns, hashes, flags = (flat.field(k).to_pylist() for k in ("n", "hash", "shared"))
+            at, crcs, every = [], [], []
+            for i, (row, k) in enumerate(zip(rows, place, strict=True)):
+                if k is not None:
+                    parts.setdefault(row, {})[k] = unpress.decompress(batch.column("part")[i].as_py())
                     continue
-                pieces, at = [], 0
-                for k, c in enumerate(r["chunks"]):
-                    if c["shared"]:
-                        data = parts[k]
+                a, b = bounds[i] - base, bounds[i + 1] - base
+                own, s, found, pieces = unpress.decompress(payloads[i]), 0, parts.pop(row, {}), []
+                for j in range(a, b):
+                    if flags[j]:
+                        data = found[j - a]
                     else:
-                        data = r["payload"][at : at + c["n"] * width]
-                        at += len(data)
-                    if hashlib.sha256(data).digest() != c["hash"]:
-                        raise ValueError(f"chunk {k} of document {r['id']} is damaged")
+                        data = own[s : s + ns[j] * width]
+                        s += len(data)
+                    if hashlib.sha256(data).digest() != hashes[j]:
+                        raise ValueError(f"chunk {j - a} of row {row} is damaged")
                     pieces.append(data)
                 ids = np.frombuffer(b"".join(pieces), f"<u{width}").astype("<u4").tobytes()
-                if merkle([c["hash"] for c in r["chunks"]]) != r["root"] or len(ids) != 4 * r["n_tokens"]:
-                    raise ValueError(f"document {r['id']} does not match its recipe")
-                out.append((r["id"], r["file"], r["local_start"], r["n_tokens"], zlib.crc32(ids), ids if keep_ids else None))
-            if out:
-                kinds = [batch.schema.field("id").type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], ["id", "file", "local_start", "n_tokens", "ids_crc32", "ids"])
+                if merkle(hashes[a:b]) != roots[i] or len(ids) != 4 * sizes[i]:
+                    raise ValueError(f"row {row} does not match its recipe")
+                at.append(i)
+                crcs.append(zlib.crc32(ids))
+                every.append(ids if keep_ids else None)
+            if at:
+                kept = batch.select(["id", "file", "local_start", "n_tokens"]).take(pa.array(at, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(crcs, pa.int64()), pa.array(every, pa.binary())], ["id", "file", "local_start", "n_tokens", "ids_crc32", "ids"])
 
     made = f"id {kind}, file int, local_start long, n_tokens long, ids_crc32 long, ids binary"
     names = ["row", "id", "file", "local_start", "n_tokens", "chunks", "payload", "root", "place", "part"]

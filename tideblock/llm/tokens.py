@@ -27,11 +27,13 @@ _BESIDE_SPACE = rf" {_WHITE}|{_WHITE} |\x00|<\|"
 #: What could come out otherwise if A-Z were lower-cased before normalization: marks that join a letter, and special strings.
 _AS_IT_IS = r"[\x{300}-\x{36f}]|<\|"
 #: Pieces that one generation of the memory holds, and the longest piece that is remembered.
-MEMORY = 400_000
+MEMORY = 250_000
 LONGEST = 64
 #: Bytes of text in a slice, and pieces whose ids are gathered at once.
-SLICE_BYTES = 8 << 20
-GATHERED = 1 << 18
+SLICE_BYTES = 4 << 20
+GATHERED = 1 << 17
+#: Pieces that go to the library in one call.
+ASKED = 8192
 
 
 def cut_before_spaces(texts: pa.Array) -> pa.ListArray:
@@ -86,7 +88,9 @@ class Remembering:
         found = list(map(self.old.get, missing))
         wanted = [p for p, v in zip(missing, found, strict=True) if v is None]
         got = {p: v for p, v in zip(missing, found, strict=True) if v is not None}
-        got.update(zip(wanted, self.encode(wanted), strict=True))
+        for s in range(0, len(wanted), ASKED):  # the library keeps much beside the ids while it encodes
+            some = wanted[s : s + ASKED]
+            got.update(zip(some, self.encode(some), strict=True))
         self.young.update(got if max(map(len, got)) <= LONGEST else {k: v for k, v in got.items() if len(k) <= LONGEST})
         return got
 
