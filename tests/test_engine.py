@@ -296,6 +296,23 @@ def test_scalars(spark):
     assert list(line) == [1.0, 3.0, 5.0, 7.0, 9.0]
 
 
+def test_exact_sum_and_reports(spark, tmp_path):
+    from tideblock.sources import reports
+
+    v = [1e16, 1.0, -1e16, 1e-8] * 500 + [0.1] * 10
+    df = spark.createDataFrame([("ab"[i % 2], x) for i, x in enumerate(v)], "k string, v double").repartition(7)
+    import math
+
+    assert stats.exact_sum(df, "v").first()["sum"] == math.fsum(v)
+    assert {r.k: r["sum"] for r in stats.exact_sum(df, "v", ["k"]).collect()} == {"a": math.fsum(v[::2]), "b": math.fsum(v[1::2])}
+    assert stats.exact_sum(df.limit(0), "v").first()["sum"] is None
+    small = spark.createDataFrame([(1, 0.5, "x|y"), (None, 2.0, "z,z")], "a int, b double, c string").coalesce(1)
+    assert reports.csv_text(small) == 'a,b,c\n1,0.5,x|y\n,2.0,"z,z"\n'
+    assert reports.markdown(small) == "| a | b | c |\n| - | - | - |\n| 1 | 0.5 | x\\|y |\n|  | 2 | z,z |\n"
+    reports.write_csv(small, f"file://{tmp_path}/out")
+    assert spark.read.option("header", True).csv(f"file://{tmp_path}/out").count() == 2
+
+
 def test_csv_sources(spark, tmp_path):
     p = tmp_path / "a.csv"
     p.write_text("ts,a,b\n1,1.5,2\n\nx,1,1\n2,3\n3,,5\n4,6,seven\n5,7,8,9\n")

@@ -71,7 +71,7 @@ def _places(n: Column, s: Column | None = None, e: Column | None = None) -> Colu
 
 def cheb_values(c: Sequence[Column], n: Column, s: Column | None = None, e: Column | None = None) -> Column:
     """Array of the values at places s to e (all if not given)."""
-    step = F.when(n > 1, F.lit(2.0) / (n - 1)).otherwise(0.0)
+    step = F.coalesce(F.try_divide(F.lit(2.0), n - 1), F.lit(0.0))
     return F.transform(_places(n, s, e), lambda j: cheb3_eval(list(c), F.lit(-1.0) + j * step))
 
 
@@ -171,3 +171,12 @@ def pieces_decode(pieces: DataFrame, keys: Sequence[str]) -> DataFrame:
     n, c = F.col("length"), [F.get(F.col("p"), F.lit(i)) for i in range(4)]
     values = F.when(F.col("kind") == "LINEAR", F.transform(F.sequence(F.lit(0), n - 1), lambda j: c[1] + c[0] * j)).otherwise(cheb_values(c, n))
     return pieces.select(*keys, "start", F.posexplode(values).alias("_j", "value")).select(*keys, (F.col("start") + F.col("_j")).alias("ordinal"), "value")
+
+
+def pieces_value_at(pieces: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The approximated value and its bound at given ordinals: wanted has keys and `ordinal`; no piece, no row."""
+    n, c = F.col("length"), [F.get(F.col("p"), F.lit(i)) for i in range(4)]
+    j = F.col("ordinal") - F.col("start")
+    u = F.when(n > 1, -1.0 + j * F.try_divide(F.lit(2.0), n - 1)).otherwise(-1.0)
+    value = F.when(F.col("kind") == "LINEAR", c[1] + c[0] * j).otherwise(cheb3_eval(c, u))
+    return wanted.join(pieces, list(keys)).filter((F.col("ordinal") >= F.col("start")) & (F.col("ordinal") < F.col("start") + n)).select(*keys, "ordinal", value.alias("value"), "epsilon")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,3 +55,43 @@ def unique_capped(df: DataFrame, column: str, cap: int = 64, by: Sequence[str] =
     """How many values differ, cap + 1 where they are more."""
     v = value_of(df, column)
     return df.groupBy(*by).agg(F.least(F.count_distinct(v), F.lit(cap + 1)).alias("n_unique"))
+
+
+def _partials(values, kept: list[float]) -> list[float]:
+    """Add values to a sum kept as doubles that do not overlap, so that nothing is lost."""
+    for x in values:
+        out = []
+        for y in kept:
+            if abs(x) < abs(y):
+                x, y = y, x
+            high = x + y
+            low = y - (high - x)
+            if low:
+                out.append(low)
+            x = high
+        kept = [*out, x]
+    return kept
+
+
+def exact_sum(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
+    """The sum rounded once, whatever the order of rows: each task keeps a short list of doubles for each key, and the lists are added exactly."""
+    rows = df.select(*by, value_of(df, column).alias("_value")).filter("_value IS NOT NULL")
+    kinds = "".join(f"`{k}` {df.schema[k].dataType.simpleString()}, " for k in by)
+
+    def run(batches):
+        sums: dict[tuple, list[float]] = {}
+        types = None
+        for batch in batches:
+            types = batch.schema
+            keys = list(zip(*(batch.column(k).to_pylist() for k in by), strict=True)) if by else [()] * batch.num_rows
+            own: dict[tuple, list[float]] = {}
+            for key, v in zip(keys, batch.column("_value").to_pylist(), strict=True):
+                own.setdefault(key, []).append(v)
+            for key, values in own.items():
+                sums[key] = _partials(values, sums.get(key, []))
+        if sums:
+            columns = [pa.array([k[i] for k in sums], types.field(name).type) for i, name in enumerate(by)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(list(sums.values()), pa.list_(pa.float64()))], [*by, "_parts"])
+
+    total = F.udf(lambda parts: math.fsum(parts) if parts else None, "double")
+    return rows.mapInArrow(run, f"{kinds}_parts array<double>").groupBy(*by).agg(F.flatten(F.collect_list("_parts")).alias("_parts")).select(*by, total("_parts").alias("sum"))

@@ -300,6 +300,15 @@ def _moments(table: Callable) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+
+
+def _value_at_ordinal(spark: SparkSession, d: str) -> DataFrame:
+    wanted = blocked_rows(spark, d).filter("pos % 97 = 0").select("block_id", "ordinal", "value")
+    got = algebra.pieces_value_at(algebra.pieces_of(block_table(spark, d), ["block_id"]), wanted.select("block_id", "ordinal"), ["block_id"]).withColumnRenamed("value", "approx")
+    return got.join(wanted, ["block_id", "ordinal"]).agg(F.count("*").alias("n"), F.bool_and(F.abs(F.col("approx") - F.col("value")) <= F.col("epsilon") + 1e-9).alias("within"))
+
+
+_add("pla_value_at", _value_at_ordinal, "SELECT CAST(ceil(count(*) / 97.0) AS BIGINT) AS n, TRUE AS within FROM events")
 _add("pla_algebra", _moments(block_table), "SELECT count(*) AS count, TRUE AS closed_form_exact, TRUE AS within_epsilon FROM events")
 _add("cheb_algebra", _moments(cheb_table), "SELECT count(*) AS count, TRUE AS closed_form_exact, TRUE AS within_epsilon FROM events")
 
@@ -345,6 +354,9 @@ _add(
     "SELECT l_returnflag, least(count(DISTINCT l_quantity), 65) AS n_unique FROM lineitem GROUP BY l_returnflag",
 )
 
+_add("exact_sum", lambda spark, d: stats.exact_sum(series(spark, d), "value").select(F.round("sum", 6).alias("sum")), "SELECT round(fsum(value), 6) AS sum FROM events")
+_add("exact_sum_by_type", lambda spark, d: stats.exact_sum(series(spark, d), "value", ["event_type"]).select("event_type", F.round("sum", 6).alias("sum")), "SELECT event_type, round(fsum(value), 6) AS sum FROM events GROUP BY event_type")
+
 # scalar functions
 
 _ZIG = "WITH x AS (SELECT event_id, user_id - 7 * event_id AS n FROM events), z AS (SELECT event_id, n, CASE WHEN n >= 0 THEN 2 * n ELSE -2 * n - 1 END AS z FROM x)"
@@ -427,7 +439,7 @@ _add(
     lambda spark, d: store(spark, d).inspect().select("col", F.concat_ws("+", "codecs").alias("codecs"), "num_rows", "ts_first", "ts_last"),
     f"SELECT 'value' AS col, 'DECIMAL' AS codecs, CAST(count(*) AS BIGINT) AS num_rows, min({_NS}) AS ts_first, max({_NS}) AS ts_last FROM events",
 )
-_add("verify", lambda spark, d: store(spark, d).verify().agg(F.count("*").alias("checked"), F.count_if(~F.col("ok")).alias("corrupt")), None)
+_add("verify", lambda spark, d: store(spark, d).verify().agg(F.count("*").alias("checked"), F.count_if(~F.col("ok")).alias("corrupt")), f"SELECT CAST(sum(ceil(n / 4096.0)) AS BIGINT) AS checked, CAST(0 AS BIGINT) AS corrupt FROM (SELECT t // 86400000000000 AS day, t < {CUT_NS} AS early, count(*) AS n FROM (SELECT {_NS} AS t FROM events) GROUP BY ALL)")
 _add("warm_info", lambda spark, d: spark.createDataFrame([tiered(spark, d).info()], "blocks long, bytes long, rows long, oldest long, newest long"), None)
 
 
