@@ -58,8 +58,19 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that a slice holds about `most` bytes of the column, one row at least. What Arrow has freed goes back to the system after each batch."""
+#: What operators keep in a Python worker from task to task, by name; a worker serves many of them.
+KEPT: dict[str, dict] = {}
+
+
+def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES, keep: str = "") -> Iterator[pa.RecordBatch]:
+    """Cut batches so that a slice holds about `most` bytes of the column, one row at least.
+
+    A worker keeps only what `keep` names of KEPT, so that one operator's memory does
+    not stay under the next; what Arrow has freed goes back to the system after each batch.
+    """
+    for name, kept in KEPT.items():
+        if name != keep:
+            kept.clear()
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         start = total = 0

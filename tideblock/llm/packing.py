@@ -159,7 +159,7 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: in
 
     def run(batches):
         part, seen = TaskContext.get().partitionId(), Counter()
-        for rows in sliced(batches, text_col, SLICE_BYTES):
+        for rows in sliced(batches, text_col, SLICE_BYTES, "tokens"):
             at, piece, start, length, crc, nth = [], [], [], [], [], []
             ids, bounds = token_ids(vocabulary, rows.column(text_col))
             raw, bounds = memoryview(ids).cast("B"), bounds.tolist()

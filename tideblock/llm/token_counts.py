@@ -21,7 +21,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048, id_col: st
     """id, n_bytes, n_tokens, over_limit of each row; batches go to the library balanced by bytes, texts cut at safe places."""
 
     def run(batches):
-        for part in sliced(batches, text_col, SLICE_BYTES):
+        for part in sliced(batches, text_col, SLICE_BYTES, "tokens"):
             texts = part.column(text_col)
             counts = token_counts(vocabulary, texts)
             sizes = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())

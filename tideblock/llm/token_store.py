@@ -45,8 +45,7 @@ from .tokens import SLICE_BYTES, token_ids
 
 WINDOW, LEAST, MOST, CUT_BITS = 8, 128, 8192, 9
 VERSION = 1
-_MULTIPLIER = 0x9E3779B97F4A7C15
-_POWERS = np.array([pow(_MULTIPLIER, WINDOW - j, 1 << 64) for j in range(WINDOW)], np.uint64)
+_POWERS = np.array([pow(0x9E3779B1, WINDOW - j, 1 << 32) for j in range(WINDOW)], np.uint32)
 _CHUNKS = "array<struct<n:int,hash:binary,shared:boolean>>"
 _CHUNK = pa.struct([("n", pa.int32()), ("hash", pa.binary()), ("shared", pa.bool_())])
 
@@ -56,12 +55,12 @@ def marks_of(ids: np.ndarray) -> np.ndarray:
     n = len(ids) - WINDOW + 1
     if n <= 0:
         return np.empty(0, np.int64)
-    mixed = ids.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    mixed ^= mixed >> np.uint64(32)
+    mixed = ids.astype(np.uint32) * np.uint32(0x85EBCA6B)
+    mixed ^= mixed >> np.uint32(15)
     h = mixed[:n] * _POWERS[0]
     for j in range(1, WINDOW):
         h += mixed[j : j + n] * _POWERS[j]
-    return np.flatnonzero(h >> np.uint64(64 - CUT_BITS) == 0) + WINDOW
+    return np.flatnonzero(h < np.uint32(1 << 32 - CUT_BITS)) + WINDOW
 
 
 def cuts(n: int, marks: list[int]) -> list[int]:
@@ -93,7 +92,7 @@ def _encoded(docs: DataFrame, vocabulary: str, end_id: int, width: int, id_col:
 
     def run(batches):
         press = zstandard.ZstdCompressor(level=1)
-        for part in sliced(batches, text_col, SLICE_BYTES):
+        for part in sliced(batches, text_col, SLICE_BYTES, "tokens"):
             own, bounds = token_ids(vocabulary, part.column(text_col))
             ends = bounds[1:]
             ids = np.insert(own, ends, end_id)  # every document with its end id
@@ -270,7 +269,7 @@ def read_store(spark: SparkSession, path: str, keep_ids: bool = False) -> DataFr
                     parts.setdefault(row, {})[k] = unpress.decompress(batch.column("part")[i].as_py())
                     continue
                 a, b = bounds[i] - base, bounds[i + 1] - base
-                own, s, found, pieces = unpress.decompress(payloads[i]), 0, parts.pop(row, {}), []
+                own, s, found, pieces = memoryview(unpress.decompress(payloads[i])), 0, parts.pop(row, None), []
                 for j in range(a, b):
                     if flags[j]:
                         data = found[j - a]
@@ -280,7 +279,7 @@ def read_store(spark: SparkSession, path: str, keep_ids: bool = False) -> DataFr
                     if hashlib.sha256(data).digest() != hashes[j]:
                         raise ValueError(f"chunk {j - a} of row {row} is damaged")
                     pieces.append(data)
-                ids = np.frombuffer(b"".join(pieces), f"<u{width}").astype("<u4").tobytes()
+                ids = np.frombuffer(b"".join(pieces) if found else own, f"<u{width}").astype("<u4").tobytes()
                 if merkle(hashes[a:b]) != roots[i] or len(ids) != 4 * sizes[i]:
                     raise ValueError(f"row {row} does not match its recipe")
                 at.append(i)

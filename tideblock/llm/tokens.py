@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import KEPT
+
 #: A letter that normalization leaves a letter, then ASCII punctuation: either pre-tokenizer cuts between them.
 _LETTER_AND_MARK = r"([A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{24f}])([!-/:-@\[-`{-~])"
 #: A space between two characters that are no white space starts a byte-level piece.
@@ -27,7 +29,7 @@ _BESIDE_SPACE = rf" {_WHITE}|{_WHITE} |\x00|<\|"
 #: What could come out otherwise if A-Z were lower-cased before normalization: marks that join a letter, and special strings.
 _AS_IT_IS = r"[\x{300}-\x{36f}]|<\|"
 #: Pieces that one generation of the memory holds, and the longest piece that is remembered.
-MEMORY = 250_000
+MEMORY = 400_000
 LONGEST = 64
 #: Bytes of text in a slice, and pieces whose ids are gathered at once.
 SLICE_BYTES = 4 << 20
@@ -77,22 +79,20 @@ class Remembering:
         if len(self.young) > MEMORY:
             self.old, self.young = self.young, {"": self.nothing}
         found = list(map(self.young.get, pieces))
-        missing = [p for p, v in zip(pieces, found, strict=True) if v is None]
-        if not missing:
-            return found
-        got = self._learn(missing)
-        return [got[p] if v is None else v for p, v in zip(pieces, found, strict=True)]
-
-    def _learn(self, missing: list[str]) -> dict[str, object]:
-        """Values of pieces that the younger generation lacks; short ones are remembered."""
-        found = list(map(self.old.get, missing))
-        wanted = [p for p, v in zip(missing, found, strict=True) if v is None]
-        got = {p: v for p, v in zip(missing, found, strict=True) if v is not None}
-        for s in range(0, len(wanted), ASKED):  # the library keeps much beside the ids while it encodes
-            some = wanted[s : s + ASKED]
-            got.update(zip(some, self.encode(some), strict=True))
-        self.young.update(got if max(map(len, got)) <= LONGEST else {k: v for k, v in got.items() if len(k) <= LONGEST})
-        return got
+        holes = [i for i, v in enumerate(found) if v is None]
+        if holes:
+            lost = [pieces[i] for i in holes]
+            got = list(map(self.old.get, lost))
+            new = [j for j, v in enumerate(got) if v is None]
+            for s in range(0, len(new), ASKED):  # the library keeps much beside the ids while it encodes
+                some = new[s : s + ASKED]
+                for j, v in zip(some, self.encode([lost[j] for j in some]), strict=True):
+                    got[j] = v
+            for i, v in zip(holes, got, strict=True):
+                found[i] = v
+            kept = zip(lost, got, strict=True)
+            self.young.update(kept if max(map(len, lost)) <= LONGEST else [(k, v) for k, v in kept if len(k) <= LONGEST])
+        return found
 
 
 def _library(path: str, lengths: bool) -> Callable[[list[str]], list]:
@@ -147,7 +147,7 @@ def cutter(path: str) -> Callable[[pa.Array], pa.ListArray] | None:
     return None
 
 
-_workers: dict[tuple, Remembering] = {}
+_workers: dict[tuple, Remembering] = KEPT.setdefault("tokens", {})
 
 
 def _worker(path: str, kind: str) -> Remembering:
