@@ -199,6 +199,38 @@ def test_long_passages_go_from_all_but_the_first(spark):
     assert got == {i: t if i == 0 else f"own {i} a\nown {i} b" for i, t in rows}
 
 
+def brute_runs(rows, least_lines=3, least_words=50):
+    """Of each document, by id: the lines in maximal runs that stand earlier too and have enough lines or words, from all pairs of places."""
+    lines = [(d, i, tuple(x.split())) for d, t in rows for i, x in enumerate(t.split("\n"))]
+    gone = {d: set() for d, _ in rows}
+    alike = lambda a, b: a >= 0 and b < len(lines) and lines[a][2] == lines[b][2]
+    for a in range(len(lines)):
+        for b in range(a + 1, len(lines)):
+            before = a and lines[a - 1][0] == lines[a][0] and lines[b - 1][0] == lines[b][0] and alike(a - 1, b - 1)
+            if before or not alike(a, b):
+                continue
+            n = 1
+            while alike(a + n, b + n) and lines[a + n][0] == lines[a][0] and lines[b + n][0] == lines[b][0]:
+                n += 1
+            if n >= least_lines or sum(len(x[2]) for x in lines[b : b + n]) >= least_words:
+                gone[lines[b][0]] |= {x[1] for x in lines[b : b + n]}
+    return gone
+
+
+def test_repeated_runs_go_whole(spark):
+    rng = random.Random(5)
+    line = lambda n: " ".join(f"w{rng.randint(0, 9999)}" for _ in range(n))
+    copied, run = "\n".join(map(line, (10, 22, 93, 2))), "\n".join(map(line, (60, 5, 5)))
+    rows = [(1, copied), (2, copied), (3, f"own a\n{run}\nown b"), (4, f"own c\n{run}\nown d")]
+    pool = [line(n) for n in (1, 2, 3, 5, 20, 30, 48, 49, 50, 60)]
+    rows += [(10 + i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 8)))) for i in range(60)]
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got[2].text == "" and got[4].text == "own c\nown d"
+    for d, gone in brute_runs(rows).items():
+        text = dict(rows)[d].split("\n")
+        assert (got[d].n_deleted, got[d].text) == (len(gone), "\n".join(x for i, x in enumerate(text) if i not in gone))
+
+
 def brute_contamination(text, items):
     own = words(text)
     hit, found = set(), set()

@@ -1,14 +1,18 @@
 """Line dedup by winnowing over line hashes.
 
 A document is the sequence of its lines that are not blank, compared with white
-space collapsed. A window is the shortest run of lines from some line on that has
-`least_lines` lines or `least_words` words. Its fingerprint is the smallest line
-hash in it, so two documents that share a window share a fingerprint. Only windows
-whose fingerprint stands at several places go on: those around a shared place, on
-either side of it, are compared by a 128-bit hash of their lines, and windows that
-match the same earlier lines run together into repeated runs. A line goes if it
-lies in a window that stands earlier too, by doc_id and then by line; the first
-occurrence stays. One earliest place is kept for each window, never pairs.
+space collapsed. A window is a shortest run of lines that has `least_lines` lines or
+`least_words` words: from each line on, and up to each line. Its fingerprint is the
+smallest line hash in it, so two documents that share a window share a fingerprint.
+Only windows whose fingerprint stands at several places go on and are compared by a
+128-bit hash of their lines. A line goes if it lies in a window that stands earlier
+too, by doc_id and then by line; the first occurrence stays. One earliest place is
+kept for each window, never pairs.
+
+Windows of both kinds together cover every repeated run that is long enough, whole,
+as if each match were extended both ways: a line of such a run that has too little
+of it after it for a window has enough before it, or lies in the window of three
+lines that is the run.
 
 Null texts stay null, empty ones empty. A row repeated with the same id and text is
 one document given twice: its copies keep the same lines. Null ids come first.
@@ -35,21 +39,29 @@ def lines_of(text: bytes) -> list[tuple[int, list[bytes]]]:
 
 
 def windows_of(lines: list[list[bytes]], least_lines: int = LEAST_LINES, least_words: int = LEAST_WORDS) -> list[tuple[int, int, int, bytes]]:
-    """start, length, fingerprint and 128-bit hash of each window."""
+    """start, length, fingerprint and 128-bit hash of each window, first those from each line on, then the others that are shortest up to a line."""
     digests = [xxhash.xxh3_128_digest(b" ".join(x)) for x in lines]
     low = np.frombuffer(b"".join(digests), "<i8")[::2].tolist()
     joined = b"".join(digests)
     sizes = [len(x) for x in lines]
-    out, end, words = [], 0, 0
+    spans, end, words = [], 0, 0
     for start in range(len(lines)):
         while end < len(lines) and end - start < least_lines and words < least_words:
             words += sizes[end]
             end += 1
         if end - start < least_lines and words < least_words:
             break
-        out.append((start, end - start, min(low[start:end]), xxhash.xxh3_128_digest(joined[16 * start : 16 * end])))
+        spans.append((start, end))
         words -= sizes[start]
-    return out
+    known, start, words = set(spans), 0, 0
+    for end in range(1, len(lines) + 1):
+        words += sizes[end - 1]
+        while end - start > 1 and (end - start > least_lines or words - sizes[start] >= least_words):
+            words -= sizes[start]
+            start += 1
+        if (end - start >= least_lines or words >= least_words) and (start, end) not in known:
+            spans.append((start, end))
+    return [(s, e - s, min(low[s:e]), xxhash.xxh3_128_digest(joined[16 * s : 16 * e])) for s, e in spans]
 
 
 def _windows(docs: DataFrame, id_col: str, text_col: str, least_lines: int, least_words: int) -> DataFrame:
