@@ -34,8 +34,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id; of rows with one id, the one with the smallest text hash. Rows without an id stay."""
-    firsts = simhash.near_groups(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    """Near copies are at most 3 bits of SimHash apart or have a Jaccard similarity of 5-word shingles of 0.8 or more. Of each group of them the document with the smallest doc_id; of rows with one id, the one with the smallest text hash. Rows without an id stay."""
+    firsts = simhash.near_groups(docs, least=0.8).filter("doc_id = component_id").select("doc_id").distinct()
     order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
     nth = fresh(docs, "_nth")
     named = docs.join(firsts, "doc_id", "left_semi").withColumn(nth, F.row_number().over(order)).filter(F.col(nth) == 1).select(*docs.columns)

@@ -199,6 +199,36 @@ def test_long_passages_go_from_all_but_the_first(spark):
     assert got == {i: t if i == 0 else f"own {i} a\nown {i} b" for i, t in rows}
 
 
+def test_near_copies_by_words_are_linked(spark):
+    rng = random.Random(3)
+    rows = []
+    for g in range(40):
+        base = [f"w{rng.randint(0, 5000)}" for _ in range(rng.choice((3, 60, 150, 400)))]
+        for _ in range(4):
+            own = list(base)
+            for _ in range(rng.choice((0, 1, 2, 3, 6))):
+                own[rng.randrange(len(own))] = f"x{rng.randint(0, 5000)}"
+            rows.append((len(rows), " ".join(own)))
+    base = [f"y{i}" for i in range(120)]  # one crowd, beyond CROWD
+    for i in range(80):
+        rows.append((len(rows), " ".join(f"z{i}" if j == rng.randrange(120) else x for j, x in enumerate(base))))
+    rows += [(len(rows), None), (len(rows) + 1, "")]
+    sets = [simhash.shingles((t or "").encode()) for _, t in rows]
+    fps = [brute_fingerprint(t) for _, t in rows]
+    root = list(range(len(rows)))
+    far = 0
+    for a in range(len(rows)):
+        for b in range(a):
+            bits, near = bin((fps[a] ^ fps[b]) & (2**64 - 1)).count("1"), len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+            far += bits > 3 and near
+            if root[a] != root[b] and (bits <= 3 or near):
+                low, high = sorted((root[a], root[b]))
+                root = [low if x == high else x for x in root]
+    assert far > 20
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: r.component_id for r in simhash.near_groups(df, least=0.8).collect()} == dict(enumerate(root))
+
+
 def brute_runs(rows, least_lines=3, least_words=50):
     """Of each document, by id: the lines in maximal runs that stand earlier too and have enough lines or words, from all pairs of places."""
     lines = [(d, i, tuple(x.split())) for d, t in rows for i, x in enumerate(t.split("\n"))]

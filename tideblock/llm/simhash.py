@@ -6,6 +6,12 @@ fingerprint looks up, for either segment, the segment itself and those one bit
 above it (the pair with the bit the other way round is found from its other
 end), and complete distances are verified in the join.
 
+Where a Jaccard similarity is asked for too, texts are also linked whose sets of
+5-word shingles (or whole texts, where shorter) are that similar. Candidates share
+one of BANDS bands of ROWS MinHash values: a pair at 0.8 is missed once in 4500.
+Of a band's bucket beyond CROWD texts each text meets the smallest and about CROWD
+others, others in each band. The sets of all candidates are compared word by word.
+
 Null and empty texts have fingerprint zero, which links like any other. Exact
 copies share one node, so a group of copies of any size costs one row; repeated
 rows and ties are each returned with their component. An empty table gives an
@@ -25,6 +31,9 @@ from .components import connected
 
 #: Shingles that are unpacked to bits at once.
 BLOCK = 1 << 15
+#: MinHash bands, values in a band, and texts of a bucket that all meet.
+BANDS, ROWS, CROWD = 16, 4, 16
+_MULTIPLY = np.random.default_rng(1).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint(text: bytes, k: int = 3, seed: int = 42) -> int:
@@ -55,6 +64,67 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, fp long")
 
 
+def shingles(text: bytes, k: int = 5) -> set[bytes]:
+    """All runs of k words, or the whole of a shorter text that has words."""
+    words = text.lower().split()
+    return {b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def bands(text: bytes, k: int = 5) -> list[int]:
+    """BANDS hashes, each of ROWS MinHash values of the shingles; none for a text without words."""
+    found = shingles(text, k)
+    if not found:
+        return []
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for i in range(0, len(hashes), BLOCK // 8):
+        mixed = hashes[i : i + BLOCK // 8, None] * _MULTIPLY
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0x9E3779B97F4A7C15)
+        least = np.minimum(least, mixed.min(axis=0))
+    return [xxhash.xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i) - (1 << 63) for i in range(BANDS)]
+
+
+def similar(docs: DataFrame, text_col: str = "text", least: float = 0.8, most: int = 3, k: int = 5) -> DataFrame:
+    """Pairs a, b of fingerprints, more than `most` bits apart, of texts whose sets of k-word shingles have a Jaccard similarity of `least` or more."""
+    texts = docs.select(F.xxhash64(text_col).alias("text_id"), F.col(text_col).alias("body")).filter("body IS NOT NULL")
+
+    def sketch(batches):
+        for part in sliced(batches, "body"):
+            bodies = bytes_of(part.column("body"))
+            yield pa.RecordBatch.from_arrays([part.column("text_id"), pa.array([fingerprint(x) for x in bodies], pa.int64()), pa.array([bands(x, k) for x in bodies], pa.list_(pa.int64()))], ["text_id", "fp", "bands"])
+
+    sketches = texts.mapInArrow(sketch, "text_id long, fp long, bands array<long>")
+    # one row of each text: a fingerprint and the bands follow from it
+    members = written(sketches.selectExpr("text_id", "fp", "explode(bands) AS band").distinct(), "bands")
+    buckets = members.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct("text_id", "fp")).alias("first"), F.min("fp").alias("low"), F.max("fp").alias("high"))
+    buckets = written(buckets.filter("n > 1 AND low != high").select("band", "n", "first"), "buckets")
+    placed = written(members.join(buckets, "band").withColumn("crowd", F.expr(f"pmod(xxhash64(text_id, band), ceil(n / {CROWD}))")), "placed")
+    other = placed.selectExpr("text_id AS other", "fp AS other_fp", "band", "crowd")
+    met = placed.join(other, ["band", "crowd"]).filter("text_id < other").select("text_id", "fp", "other", "other_fp")
+    met = met.unionByName(placed.filter("first.text_id < text_id").selectExpr("first.text_id AS text_id", "first.fp AS fp", "text_id AS other", "fp AS other_fp"))
+    pairs = written(met.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("other_fp"))) > most).distinct(), "pairs")
+    wanted = pairs.select("text_id").unionByName(pairs.selectExpr("other AS text_id")).distinct()
+    needed = written(texts.join(wanted, "text_id", "left_semi").groupBy("text_id").agg(F.first("body").alias("body")), "texts")
+    both = pairs.join(needed, "text_id").join(needed.selectExpr("text_id AS other", "body AS other_body"), "other")
+
+    def verify(batches):
+        last, own = None, set()  # of the text met last, as the join leaves those of one text together
+        for batch in batches:
+            for part in sliced([batch], "body"):
+                kept = []
+                for i, (name, x, y) in enumerate(zip(part.column("other").to_pylist(), bytes_of(part.column("body")), bytes_of(part.column("other_body")), strict=True)):
+                    if name != last:
+                        last, own = name, shingles(y, k)
+                    a = shingles(x, k)
+                    n = len(a & own)
+                    if n >= least * (len(a) + len(own) - n):
+                        kept.append(i)
+                yield part.select(["fp", "other_fp"]).take(pa.array(kept, pa.int64())).rename_columns(["a", "b"])
+
+    return both.select("other", "fp", "other_fp", "body", "other_body").mapInArrow(verify, "a long, b long")
+
+
 def links(nodes: DataFrame, most: int = 3) -> DataFrame:
     """Pairs a, b of distinct fingerprints in column fp at most `most` (up to 3) bits apart; a pair can come twice."""
     if not 0 <= most <= 3:
@@ -70,14 +140,15 @@ def links(nodes: DataFrame, most: int = 3) -> DataFrame:
     )
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 3) -> DataFrame:
-    """Of each row: id, fp and component_id, the smallest id reachable over links of `most` bits or fewer (null ids give no name).
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 3, least: float | None = None) -> DataFrame:
+    """Of each row: id, fp and component_id, the smallest id reachable over links of `most` bits or fewer (null ids give no name), and over those of a Jaccard similarity of `least` or more where that is given.
 
     The fingerprints are kept as a table, as hashing all shingles is the dear part.
     """
     fps = written(fingerprints(docs, id_col, text_col), "fingerprints")
     nodes = fps.groupBy("fp").agg(F.min(id_col).alias("first_id"))
-    groups = connected(links(nodes.select("fp"), most))
+    near = links(nodes.select("fp"), most)
+    groups = connected(near if least is None else near.unionByName(similar(docs, text_col, least, most)))
     # few fingerprints have links: the component's smallest id is found among those alone
     named = groups.join(nodes, groups.node == nodes.fp).groupBy("root").agg(F.min("first_id").alias("component_id"))
     linked = groups.join(named, "root").select(F.col("node").alias("fp"), "component_id")
