@@ -8,11 +8,11 @@ two stages, so an executor lost in one costs nothing of those before.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideblock.llm import decontaminate, line_dedup, packing, quality, simhash
-from tideblock.llm.common import fresh, table, written
+from tideblock.llm.common import table, written
 
 
 def _wrapped(docs: DataFrame) -> DataFrame:
@@ -34,12 +34,10 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near copies are at most 3 bits of SimHash apart or have a Jaccard similarity of 5-word shingles of 0.8 or more. Of each group of them the document with the smallest doc_id; of rows with one id, the one with the smallest text hash. Rows without an id stay."""
-    firsts = simhash.near_groups(docs, least=0.8).filter("doc_id = component_id").select("doc_id").distinct()
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    nth = fresh(docs, "_nth")
-    named = docs.join(firsts, "doc_id", "left_semi").withColumn(nth, F.row_number().over(order)).filter(F.col(nth) == 1).select(*docs.columns)
-    return named.unionByName(docs.filter("doc_id IS NULL"))
+    """Near copies are at most 3 bits of SimHash apart or have a Jaccard similarity of 5-word shingles of 0.8 or more. Of each group of them one row stays: that of the smallest doc_id, null before all, and of those with one id the first."""
+    rows = written(docs.select(F.struct(F.col("doc_id"), F.monotonically_increasing_id().alias("row")).alias("place"), F.struct(*docs.columns).alias("doc"), F.col("text").alias("text")), "rows")
+    firsts = simhash.near_groups(rows, id_col="place", least=0.8).filter("place = component_id").select(F.col("place.row").alias("row"))
+    return rows.withColumn("row", F.col("place.row")).join(firsts, "row", "left_semi").select("doc.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

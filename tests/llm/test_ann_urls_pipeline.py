@@ -153,6 +153,16 @@ def test_pipeline_with_odd_rows(spark, small, odd, empty):
     assert packing.pack_documents(p.drop_near_copies(spark, empty, small), public_tokenizers.path("word_bpe_49k.json")).count() == 0
 
 
+def test_near_dedup_keeps_one_row_of_each_group(spark, small):
+    import corpus_pipeline as p
+
+    text = lambda x: " ".join(f"{x}{i}" for i in range(40))
+    rows = [(7, text("a")), (7, text("b")), (8, text("b")), (9, text("c")), (9, text("c")), (None, text("d")), (None, text("d")), (5, text("d")), (None, text("e"))]
+    df = spark.createDataFrame([(i, t, None, None, len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = Counter((r.doc_id, r.text) for r in p.drop_near_copies(spark, df, small).collect())
+    assert got == Counter([(7, text("a")), (7, text("b")), (9, text("c")), (None, text("d")), (None, text("e"))])
+
+
 @pytest.mark.parametrize("name", ["op1_", "op2_", "op3_", "op4_", "op5_", "op6_", "op7_", "op8_", "op9_", "op10_", "pipeline"])
 def test_registered(name):
     import __spark_entry__ as entry
