@@ -452,3 +452,17 @@ def test_quality_handles_odd_rows(spark, odd, odd_rows, empty, clashing):
     assert {r.score for r in quality.score_quality(odd, nothing).collect()} == {0.5}
     one = quality.train(odd, labels.filter("quality = 1"), F.lit(True))
     assert {r.score for r in quality.score_quality(odd, one).collect()} == {1.0}
+
+
+def test_passages_of_a_few_hundred_ids_are_shared():
+    rng = np.random.default_rng(4)
+    draw = lambda n: rng.integers(0, 50_000, n, dtype=np.uint32)
+    shared = 0
+    for _ in range(200):
+        passage, parts = draw(700), []
+        for _ in range(2):
+            x = np.concatenate((draw(900), passage, draw(900)))
+            ends = token_store.cuts(len(x), token_store.marks_of(x).tolist())
+            parts.append({x[s:e].tobytes() for s, e in zip([0, *ends], ends, strict=False)})
+        shared += bool(parts[0] & parts[1])
+    assert shared >= 120
