@@ -451,3 +451,14 @@ def test_the_library_does_not_import_the_corpus_operators():
     for p in root.rglob("*.py"):
         if "llm" not in p.parts:
             assert "llm" not in p.read_text(), p
+
+
+def test_pla_value_at_sees_every_position(spark, small, monkeypatch):
+    from tideblock.functions import algebra
+    from tideblock.plans import registry
+
+    assert [tuple(r)[1] for r in registry.queries()["pla_value_at"](spark, small).collect()] == [True]
+    whole = algebra.pieces_value_at
+    for wrong in (lambda x: x.withColumn("value", F.when(F.col("ordinal") == 5, 1e9).otherwise(F.col("value"))), lambda x: x.filter("ordinal != 5")):
+        monkeypatch.setattr(algebra, "pieces_value_at", lambda *a, wrong=wrong: wrong(whole(*a)))
+        assert [tuple(r)[1] for r in registry.queries()["pla_value_at"](spark, small).collect()] == [False]
