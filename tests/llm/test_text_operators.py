@@ -375,6 +375,10 @@ def test_plan_is_whole_and_near_the_bound():
     assert packing.plan({60: 2, 40: 1, 25: 1, 15: 1}, 100) == [((60, 40), 1), ((60, 25, 15), 1)]
 
 
+def test_plan_tries_every_pair_of_a_triple():
+    assert packing.plan({1200: 1, 1150: 1, 900: 1, 846: 1, 596: 1}, 4096)[0] == ((1200, 1150, 900, 846), 1)
+
+
 def test_token_store(spark, odd, odd_rows, empty, clashing):
     for df in (odd, clashing):
         path = scratch_path(spark, "store")

@@ -73,7 +73,18 @@ class Available:
             if 3 * a < total:
                 return None  # the longest of three is a third at least
             left &= ~(1 << a)
-            if (rest := self.pair(total - a)) and all(self.counts[n] >= k for n, k in Counter((a, *rest)).items()):
+            # one of a is set aside, so that a pair that needs one more than there is gives way to the next pair
+            self.counts[a] -= 1
+            gone = not self.counts[a]
+            if gone:
+                self.up &= ~(1 << a)
+                self.down &= ~(1 << (self.capacity - a))
+            rest = self.pair(total - a)
+            self.counts[a] += 1
+            if gone:
+                self.up |= 1 << a
+                self.down |= 1 << (self.capacity - a)
+            if rest:
                 return a, *rest
         return None
 
