@@ -323,6 +323,14 @@ def test_broken_expressions(bad):
         licenses.postfix(bad)
 
 
+def test_long_and_followed_expressions():
+    long = licenses.scan(("SPDX-License-Identifier: " + " OR ".join(["GPL-2.0"] * 300 + ["MIT"])).encode())
+    assert (long["labels"], long["score"], long["free"]) == ("gpl,mit", 1.0, True)
+    followed = licenses.scan(b"SPDX-License-Identifier: (MIT OR GPL-2.0) Copyright X, (c) 2020 SPDX-License-Identifier: ISC more")
+    assert (followed["labels"], followed["score"], followed["expressions"]) == ("gpl,isc,mit", 1.0, ["(MIT OR GPL-2.0)", "ISC"])
+    assert licenses.scan(b"SPDX-License-Identifier: MIT OR\nby X")["labels"] == "other"
+
+
 def test_expressions_bind_as_they_should():
     assert licenses.evaluate("GPL-3.0 OR MIT AND Apache-2.0") == ({"gpl", "mit", "apache"}, True)
     assert licenses.evaluate("(GPL-3.0 OR MIT) AND GPL-2.0 WITH x") == ({"gpl", "mit"}, False)

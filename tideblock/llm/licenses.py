@@ -3,8 +3,9 @@
 Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after lower-casing A-Z; a phrase is
 found where its words stand one after the other. Null and empty texts have no
 words, no labels and score 0. Repeated rows each give a row. Whole texts are
-scanned, whatever their length; an expression longer than MOST_TOKENS tokens, or
-one that does not parse, counts as a tag without a valid expression.
+scanned, whatever their length. A tag's expression ends where its line or the next
+tag does, or where other words follow it; one that does not parse counts as a tag
+without a valid expression.
 """
 
 from __future__ import annotations
@@ -41,8 +42,7 @@ NOTICES = {
 FAMILIES = {"gpl": "gpl", "lgpl": "lgpl", "agpl": "agpl", "apache": "apache", "mit": "mit", "bsd": "bsd", "mpl": "mpl", "epl": "epl", "bsl": "bsl", "cc-by": "cc-by", "cc0": "cc0", "isc": "isc", "unlicense": "public-domain"}
 FREE = frozenset({"apache", "mit", "bsd", "bsl", "cc-by", "cc0", "isc", "public-domain"})
 TAG = "spdx license identifier"
-MOST_TOKENS = 200
-_TAG = re.compile(rb"spdx-license-identifier\s*:[ \t]*([^\r\n]*)", re.I)
+_TAG = re.compile(rb"spdx-license-identifier\s*:[ \t]*((?:(?!spdx-license-identifier\s*:)[^\r\n])*)", re.I)
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+:-]+")
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
@@ -54,7 +54,7 @@ def postfix(expression: str) -> list[str]:
     ['MIT', 'Apache-2.0', 'GPL-2.0', 'Classpath-exception-2.0', 'with', 'and', 'or']
     """
     tokens = _TOKEN.findall(expression)
-    if not tokens or len(tokens) > MOST_TOKENS:
+    if not tokens:
         raise ValueError("no expression")
     out: list[str] = []
     waiting: list[str] = []
@@ -90,6 +90,23 @@ def postfix(expression: str) -> list[str]:
     return out + waiting[::-1]
 
 
+def leading(line: str) -> str:
+    """The line as far as words can belong to one expression: up to where an operand stands, outside brackets, though an operator is due.
+
+    >>> leading("MIT OR (Apache-2.0) Copyright X")
+    'MIT OR (Apache-2.0)'
+    """
+    operand, depth, end = True, 0, 0
+    for m in _TOKEN.finditer(line):
+        token = m[0].lower()
+        if not operand and not depth and token != ")" and token not in _BINDS:
+            return line[:end]
+        depth += (token == "(") - (token == ")")
+        operand = token == "(" or token in _BINDS
+        end = m.end()
+    return line
+
+
 def label_of(identifier: str) -> str:
     low = identifier.lower()
     start = max((x for x in FAMILIES if low.startswith(x)), key=len, default=None)
@@ -154,6 +171,7 @@ def scan(text: bytes) -> dict:
     if tags:
         for m in _TAG.finditer(text):
             said = m[1].decode("utf-8", "replace").split("*/")[0].split("-->")[0].strip()
+            said = leading(said)
             try:
                 found, allowed = evaluate(said)
             except ValueError:
