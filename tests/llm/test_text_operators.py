@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -138,48 +139,43 @@ def test_components_of_a_long_chain(spark):
     assert connected(edges.filter("a < 0")).count() == 0
 
 
-def brute_lines(rows, least_lines=3, least_words=50):
-    """Of each row: its text without lines in windows that stand earlier, and how many lines it has and loses."""
-    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0))
-    lines = {i: [(k, x.split()) for k, x in enumerate((rows[i][1] or "").split("\n")) if x.split()] for i in order}
-
-    def windows(own):
-        for s in range(len(own)):
-            for e in range(s + 1, len(own) + 1):
-                if e - s >= least_lines or sum(len(w) for _, w in own[s:e]) >= least_words:
-                    yield s, e, tuple(tuple(w) for _, w in own[s:e])
-                    break
-
-    first, out, seen = {}, {}, {}
-    for i in order:
-        key = (rows[i][0], rows[i][1])
-        if key in seen:
-            out[i] = out[seen[key]]
-            continue
-        seen[key] = i
-        gone = set()
-        for s, e, w in windows(lines[i]):
-            if w in first:
-                gone |= {lines[i][k][0] for k in range(s, e)}
-            else:
-                first[w] = i
-        text = rows[i][1]
-        out[i] = (None if text is None else "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone), len(lines[i]), len(gone))
-    return [out[i] for i in range(len(rows))]
+def spark_key(i, text):
+    """Hash of id and text as the operator orders rows of one id by it."""
+    h = 42 if i is None else xxhash.xxh64_intdigest(struct.pack("<q", i), 42)
+    return signed(h if text is None else xxhash.xxh64_intdigest(text, h))
 
 
-def plain_rows(odd_rows):
-    """Rows whose order is told by their ids alone: ids that differ, unless the row is repeated."""
-    kept, seen = [], {}
-    for r in odd_rows:
-        if r[0] is None and any(x[0] is None for x in kept):
-            continue
-        kept.append(r)
-    return kept
+def brute_lines(rows, least_lines=3, least_words=50):
+    """Of each row: its text without its repeated runs, and how many lines it has and loses; from all pairs of places of equal lines."""
+    order = sorted({(r[0], r[1]) for r in rows}, key=lambda r: (r[0] is not None, r[0] or 0, spark_key(*r)))
+    places, own = defaultdict(list), {}
+    for d, (i, text) in enumerate(order):
+        own[i, text] = (d, [(k, tuple(x.split())) for k, x in enumerate((text or "").split("\n")) if x.split()])
+    flat = {d: lines for d, lines in own.values()}
+    gone = {d: set() for d in flat}
+
+    def alike(a, i, b, j):
+        return 0 <= i < len(flat[a]) and 0 <= j < len(flat[b]) and flat[a][i][1] == flat[b][j][1]
+
+    for d, lines in flat.items():
+        for j, (_, line) in enumerate(lines):
+            for a, i in places[line]:
+                if not alike(a, i - 1, d, j - 1):  # where a match begins
+                    n = 1
+                    while alike(a, i + n, d, j + n):
+                        n += 1
+                    if n >= least_lines or sum(len(x) for _, x in lines[j : j + n]) >= least_words:
+                        gone[d] |= {k for k, _ in lines[j : j + n]}
+            places[line].append((d, j))
+    out = []
+    for i, text, *_ in rows:
+        d, lines = own[i, text]
+        out.append((None if text is None else "\n".join(x for k, x in enumerate(text.split("\n")) if k not in gone[d]), len(lines), len(gone[d])))
+    return out
 
 
 def test_line_dedup(spark, odd_rows, empty, clashing):
-    rows = plain_rows(odd_rows)
+    rows = [*odd_rows, (105, odd_rows[30][1], "en", "s", 1), (None, odd_rows[31][1], None, None, None), (None, odd_rows[21][1] + "\nend", None, None, None)]  # ties of one id, and of none
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
     want = [(r[0], *x) for r, x in zip(rows, brute_lines(rows), strict=True)]
     assert sum(x[3] for x in want) > 20
@@ -229,24 +225,6 @@ def test_near_copies_by_words_are_linked(spark):
     assert {r.doc_id: r.component_id for r in simhash.near_groups(df, least=0.8).collect()} == dict(enumerate(root))
 
 
-def brute_runs(rows, least_lines=3, least_words=50):
-    """Of each document, by id: the lines in maximal runs that stand earlier too and have enough lines or words, from all pairs of places."""
-    lines = [(d, i, tuple(x.split())) for d, t in rows for i, x in enumerate(t.split("\n"))]
-    gone = {d: set() for d, _ in rows}
-    alike = lambda a, b: a >= 0 and b < len(lines) and lines[a][2] == lines[b][2]
-    for a in range(len(lines)):
-        for b in range(a + 1, len(lines)):
-            before = a and lines[a - 1][0] == lines[a][0] and lines[b - 1][0] == lines[b][0] and alike(a - 1, b - 1)
-            if before or not alike(a, b):
-                continue
-            n = 1
-            while alike(a + n, b + n) and lines[a + n][0] == lines[a][0] and lines[b + n][0] == lines[b][0]:
-                n += 1
-            if n >= least_lines or sum(len(x[2]) for x in lines[b : b + n]) >= least_words:
-                gone[lines[b][0]] |= {x[1] for x in lines[b : b + n]}
-    return gone
-
-
 def test_repeated_runs_go_whole(spark):
     rng = random.Random(5)
     line = lambda n: " ".join(f"w{rng.randint(0, 9999)}" for _ in range(n))
@@ -256,9 +234,22 @@ def test_repeated_runs_go_whole(spark):
     rows += [(10 + i, "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 8)))) for i in range(60)]
     got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     assert got[2].text == "" and got[4].text == "own c\nown d"
-    for d, gone in brute_runs(rows).items():
-        text = dict(rows)[d].split("\n")
-        assert (got[d].n_deleted, got[d].text) == (len(gone), "\n".join(x for i, x in enumerate(text) if i not in gone))
+    for (d, _), (text, _, n) in zip(rows, brute_lines(rows), strict=True):
+        assert (got[d].n_deleted, got[d].text) == (n, text)
+
+
+def test_selected_lines_are_few_and_guaranteed():
+    rng = random.Random(9)
+    line = lambda n: [f"w{rng.randint(0, 9999)}".encode() for _ in range(n)]
+    lines = [line(rng.randint(1, 12)) for _ in range(3000)]
+    found = line_dedup.prints_of(lines)
+    assert len(found) < 0.6 * len(lines)  # 2 / (w + 1) of them for windows of w = 3
+    for _ in range(300):  # whatever stands around it, a run of three lines has selected the same one of them
+        s, picked = rng.randrange(2990), []
+        for before, after in ((line(3), line(4)), (line(7), line(1))):
+            own = line_dedup.prints_of([before, *lines[s : s + 3], after])
+            picked.append({k - 1 for k, (_, spans) in own.items() for start, n, _ in spans if (start, n) == (1, 3)})
+        assert picked[0] == picked[1] and len(picked[0]) == 1
 
 
 def brute_contamination(text, items):

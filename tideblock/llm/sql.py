@@ -8,7 +8,8 @@ WITH l AS (
   SELECT doc_id, k, line, regexp_extract_all(line, '[^ \t\n\x0b\f\r]+') AS w
   FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k FROM documents)),
 f AS (SELECT doc_id, k, array_to_string(w, ' ') AS line, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS s, sum(len(w)) OVER (PARTITION BY doc_id ORDER BY k) AS up_to, len(w) AS n FROM l WHERE len(w) > 0),
-e AS (SELECT a.doc_id, a.s, min(b.s) AS e FROM f a JOIN f b ON a.doc_id = b.doc_id AND b.s BETWEEN a.s AND a.s + 2 AND (b.s = a.s + 2 OR b.up_to - a.up_to + a.n >= 50) GROUP BY ALL),
+e AS (SELECT a.doc_id, a.s, min(b.s) AS e FROM f a JOIN f b ON a.doc_id = b.doc_id AND b.s BETWEEN a.s AND a.s + 2 AND (b.s = a.s + 2 OR b.up_to - a.up_to + a.n >= 50) GROUP BY ALL
+  UNION SELECT b.doc_id, max(a.s) AS s, b.s AS e FROM f a JOIN f b ON a.doc_id = b.doc_id AND a.s BETWEEN b.s - 2 AND b.s AND (a.s = b.s - 2 OR b.up_to - a.up_to + a.n >= 50) GROUP BY b.doc_id, b.s),
 w AS (SELECT e.doc_id, e.s, e.e, string_agg(f.line, chr(10) ORDER BY f.s) AS body FROM e JOIN f ON e.doc_id = f.doc_id AND f.s BETWEEN e.s AND e.e GROUP BY ALL),
 r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY body ORDER BY doc_id, s) AS nth FROM w) WHERE nth > 1),
 g AS (SELECT DISTINCT f.doc_id, f.k FROM r JOIN f ON r.doc_id = f.doc_id AND f.s BETWEEN r.s AND r.e),
