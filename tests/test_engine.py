@@ -170,20 +170,47 @@ def test_nulls_nan_and_infinity_take_no_part(spark):
     assert resolve(df, None) == ["v"] and open_ends(0, 5) == (None, 5) and status_text("corrupt") and issubclass(CodecError, EngineError)
 
 
-def test_value_at_and_many_probes(spark):
+def test_value_at_and_many_probes(spark, monkeypatch):
     ts = [0, 5, 10, 250, 255, 256, 300, 9000]
     df = series(spark, np.arange(len(ts)) * 10.0, ts)
     assert [tuple(r) for r in query.value_at(df, 6, ["v"]).collect()] == [(10, 20.0)]
     assert query.value_at(df, 6, ["v"], exact=True).count() == 0 and query.value_at(df, 6, ["v"], tolerance=3).count() == 0
     probes = spark.createDataFrame([(p,) for p in [-5, 0, 1, 5, 251, 256, 257, 301, 9000, 9001]], "probe_ns long")
-    for span in (None, 7, 100):
-        got = {r.probe_ns: r.ts_ns for r in query.values_at(df, probes, ["v"], span=span).collect()}
+    for bucket in (1 << 15, 1, 3):
+        monkeypatch.setattr(ordered, "BUCKET", bucket)
+        got = {r.probe_ns: r.ts_ns for r in query.values_at(df, probes, ["v"]).collect()}
         assert got == {p: min((t for t in ts if t >= p), default=None) for p in got} and len(got) == 10
     near = {r.probe_ns: r.v for r in query.values_at(df, probes, ["v"], tolerance=4).collect()}
     assert near[1] == 10.0 and near[257] is None and near[-5] is None
     assert {r.ts_ns for r in query.values_at(df, probes, exact=True).collect()} == {None, 0, 5, 256, 9000}
 
 
+def test_many_probes_in_a_burst(spark, monkeypatch):
+    """Nearly all rows within one microsecond, keys with and without rows, ties."""
+    monkeypatch.setattr(ordered, "BUCKET", 64)
+    rng = np.random.default_rng(5)
+    rows = [(k, int(t), i, float(i)) for k in ("a", "b", None) for i, t in enumerate([*rng.integers(10**6, 10**6 + 300, 700), 0, 10**12])]
+    asked = [(k, int(p)) for k in ("a", "b", None, "none") for p in [*rng.integers(10**6 - 5, 10**6 + 310, 120), -1, 10**12 + 1]]
+    df, probes = spark.createDataFrame(rows, "k string, ts_ns long, n long, v double"), spark.createDataFrame(asked, "k string, probe_ns long")
+    got = sorted((str(r.k), r.probe_ns, r.ts_ns, r.v) for r in query.values_at(df, probes, ["v"], by=["k"], tie=["n"]).collect())
+    first = {(k, p): min(((t, n, v) for o, t, n, v in rows if o == k and t >= p), default=(None, None, None)) for k, p in asked}
+    key = lambda r: (r[0], r[1])
+    assert sorted(got, key=key) == sorted(((str(k), p, first[k, p][0], first[k, p][2]) for k, p in asked), key=key)
+
+
+def test_bounds_reach_the_scan(spark, small, tmp_path):
+    from tideblock.sources.readers import read_series
+
+    at = 1_704_412_800_000_000_000
+    plan = query.value_at(read_series(spark, f"{small}/events.parquet", "ts", t_from=at), at, ["value"])._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(ts" in plan
+    spark.createDataFrame([(i, float(i)) for i in range(10)], "s long, v double").selectExpr("s", "v", "timestamp_micros(s) AS z").write.parquet(str(tmp_path / "t"))
+    for ts, unit in (("s", 1000), ("z", 1)):
+        for a, b in ((2500, 6999), (3000, 7000), (None, 0), (8001, None)):
+            own = [r.v for r in read_series(spark, str(tmp_path / "t"), ts, unit, a, b).collect()]
+            assert sorted(own) == [i for i in range(10) if (a is None or 1000 * i >= a) and (b is None or 1000 * i <= b)]
+
+
 def test_downsample(spark):
     df = series(spark, np.arange(1000))
     got = query.downsample(df, "v", 11).orderBy("i").collect()

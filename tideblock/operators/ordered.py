@@ -8,7 +8,8 @@ into it, and running values carry over from a small table with a row per bucket.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from ..scratch import written
 BUCKET = 1 << 15
 
 
-def positions(df: DataFrame, order: Sequence[str], by: Sequence[str] = (), name: str = "pos") -> DataFrame:
+def positions(df: DataFrame, order: Sequence[str | Column], by: Sequence[str] = (), name: str = "pos") -> DataFrame:
     """df with the position (from 0) of each row among those with its keys `by`, in the given order.
 
     Rows that tie in `order` may stand either way round; name enough columns.
@@ -63,20 +64,36 @@ def neighbours(df: DataFrame, wanted: dict[str, tuple[str, int]], by: Sequence[s
     return looked.filter("_own").drop("_bucket", "_own")
 
 
+def _before(totals: DataFrame, over: Callable[[Column | str], Column], by: Sequence[str]) -> DataFrame:
+    """Of each bucket what `over` makes of the column _t of all buckets before it; buckets are looked at BUCKET at a time, and those groups once more, so that no task sees all of them."""
+    rows = totals.withColumn("_group", F.floor(F.col("_bucket") / BUCKET).cast("long"))
+    inside = Window.partitionBy(*by, "_group").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*by, "_group").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    own = rows.withColumns({"_near": over("_t").over(inside), "_all": over("_t").over(whole)})
+    groups = own.groupBy(*by, "_group").agg(F.first("_all").alias("_t"))
+    far = groups.select(*by, "_group", over("_t").over(Window.partitionBy(*by).orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)).alias("_far"))
+    return own.select(*(F.col(c).alias(f"_by_{c}") for c in by), F.col("_bucket").alias("_of"), "_near", "_group").join(
+        far.select(*(F.col(c).alias(f"_key_{c}") for c in by), F.col("_group").alias("_in"), "_far"), reduce(Column.__and__, [F.col(f"_by_{c}").eqNullSafe(F.col(f"_key_{c}")) for c in by], F.col("_group") == F.col("_in"))
+    ).select(*(f"_by_{c}" for c in by), "_of", "_near", "_far")
+
+
+def _carried(rows: DataFrame, before: DataFrame, by: Sequence[str]) -> DataFrame:
+    return rows.join(before, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by], F.col("_bucket") == F.col("_of"))).drop("_of", *(f"_by_{c}" for c in by))
+
+
 def running_sum(df: DataFrame, value: Column, name: str, by: Sequence[str] = (), pos: str = "pos") -> DataFrame:
     """Add the sum of `value` up to and with each row."""
     rows = df.withColumns({"_v": value, "_bucket": F.floor(F.col(pos) / BUCKET).cast("long")})
-    totals = rows.groupBy(*by, "_bucket").agg(F.sum("_v").alias("_t"))
-    before = totals.select(*by, "_bucket", F.coalesce(F.sum("_t").over(Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_prior"))
+    before = _before(rows.groupBy(*by, "_bucket").agg(F.sum("_v").alias("_t")), F.sum, by)
     own = F.sum("_v").over(Window.partitionBy(*by, "_bucket").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("_own", own).join(before, [*by, "_bucket"]).withColumn(name, F.col("_own") + F.col("_prior")).drop("_v", "_bucket", "_own", "_prior")
+    zero = F.lit(0)
+    return _carried(rows.withColumn("_own", own), before, by).withColumn(name, F.col("_own") + F.coalesce("_near", zero) + F.coalesce("_far", zero)).drop("_v", "_bucket", "_own", "_near", "_far")
 
 
 def running_last(df: DataFrame, column: str, name: str, by: Sequence[str] = (), pos: str = "pos") -> DataFrame:
     """Add the last value that is not null up to and with each row (last observation carried forward)."""
     rows = df.withColumn("_bucket", F.floor(F.col(pos) / BUCKET).cast("long"))
-    lasts = rows.filter(F.col(column).isNotNull()).groupBy(*by, "_bucket").agg(F.max_by(column, pos).alias("_l"))
-    every = rows.select(*by, "_bucket").distinct().join(lasts, [*by, "_bucket"], "left")
-    before = every.select(*by, "_bucket", F.last("_l", ignorenulls=True).over(Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)).alias("_prior"))
-    own = F.last(column, ignorenulls=True).over(Window.partitionBy(*by, "_bucket").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("_own", own).join(before, [*by, "_bucket"]).withColumn(name, F.coalesce("_own", "_prior")).drop("_bucket", "_own", "_prior")
+    lasts = rows.groupBy(*by, "_bucket").agg(F.max_by(column, F.when(F.col(column).isNotNull(), F.col(pos))).alias("_t"))
+    last = lambda c: F.last(c, ignorenulls=True)
+    own = last(column).over(Window.partitionBy(*by, "_bucket").orderBy(pos).rowsBetween(Window.unboundedPreceding, 0))
+    return _carried(rows.withColumn("_own", own), _before(lasts, last, by), by).withColumn(name, F.coalesce("_own", "_near", "_far")).drop("_bucket", "_own", "_near", "_far")

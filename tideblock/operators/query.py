@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import EngineError, in_range, predicate, resolve, value_of
-from .ordered import positions
+from .ordered import positions, running_last
 
 AGGREGATES = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "variance": F.var_pop}
 
@@ -80,34 +80,22 @@ def value_at(df: DataFrame, at: int, columns: list[str] | None = None, exact: bo
     return scan(df, columns, at, end, 1, ts, tie)
 
 
-def values_at(df: DataFrame, probes: DataFrame, columns: list[str] | None = None, by: Sequence[str] = (), tolerance: int | None = None, exact: bool = False, ts: str = "ts_ns", probe: str = "probe_ns", span: int | None = None, tie: Sequence[str] = ()) -> DataFrame:
+def values_at(df: DataFrame, probes: DataFrame, columns: list[str] | None = None, by: Sequence[str] = (), tolerance: int | None = None, exact: bool = False, ts: str = "ts_ns", probe: str = "probe_ns", tie: Sequence[str] = ()) -> DataFrame:
     """For each probe the first row at or after it (a forward as-of join); null columns where there is none.
 
-    Probes and rows meet in buckets of time: a bucket's probes look among its rows,
-    those left over take the first row of the next bucket that has any. Each bucket
-    is sorted for itself, so neither a quadratic join nor one long window is needed.
+    Probes and rows are put in one order, from the last time to the first, and each probe
+    takes the last row met before it: one sort by range and one running pass over
+    buckets of equally many positions, however the times are spread.
     """
     names = resolve(df, columns, (ts, *by))
-    width = span or _bucket_span(df, ts)
     rows = df.filter(F.col(ts).isNotNull()).select(*by, F.col(ts).alias("_t"), F.lit(1).alias("_kind"), F.struct(F.col(ts).alias("at"), *names).alias("_row"), F.struct(*[F.col(c) for c in tie] or [F.lit(0).alias("tie")]).alias("_tie"))
     asked = probes.filter(F.col(probe).isNotNull()).select(*by, F.col(probe).alias("_t"), F.lit(0).alias("_kind"))
-    both = asked.unionByName(rows, allowMissingColumns=True).withColumn("_bucket", F.floor(F.col("_t") / width).cast("long"))
-    ahead = Window.partitionBy(*by, "_bucket").orderBy("_t", "_kind", "_tie").rowsBetween(0, Window.unboundedFollowing)
-    found = both.withColumn("_found", F.first("_row", ignorenulls=True).over(ahead)).filter("_kind = 0")
-    firsts = both.filter("_kind = 1").groupBy(*by, "_bucket").agg(F.min_by("_row", F.struct("_t", "_tie")).alias("_next"))
-    present = both.select(*by, "_bucket").distinct().join(firsts, [*by, "_bucket"], "left")
-    later = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(1, Window.unboundedFollowing)
-    nexts = present.select(*by, "_bucket", F.first("_next", ignorenulls=True).over(later).alias("_after"))
-    row = F.coalesce("_found", "_after")
+    placed = positions(asked.unionByName(rows, allowMissingColumns=True), [F.desc("_t"), F.desc("_kind"), F.desc("_tie")], by)
+    found = running_last(placed, "_row", "_next", by).filter("_kind = 0")
+    row = F.col("_next")
     late = F.lit(0) if exact else F.lit(tolerance)
-    fits = F.lit(True) if late is None or (tolerance is None and not exact) else (row["at"] - F.col("_t") <= late)
-    return found.join(nexts, [*by, "_bucket"], "left").withColumn("_hit", F.when(fits, row)).select(*by, F.col("_t").alias(probe), F.col("_hit.at").alias(ts), *(F.col("_hit")[c].alias(c) for c in names))
-
-
-def _bucket_span(df: DataFrame, ts: str, rows: int = 50_000) -> int:
-    """Width of a time bucket that holds about `rows` rows on average."""
-    r = df.agg(F.min(ts).alias("a"), F.max(ts).alias("b"), F.count(ts).alias("n")).first()
-    return max(1, (r["b"] - r["a"]) // max(1, -(-r["n"] // rows)) + 1) if r["n"] else 1
+    fits = F.lit(True) if tolerance is None and not exact else (row["at"] - F.col("_t") <= late)
+    return found.withColumn("_hit", F.when(fits, row)).select(*by, F.col("_t").alias(probe), F.col("_hit.at").alias(ts), *(F.col("_hit")[c].alias(c) for c in names))
 
 
 def grid(t0: int, t1: int, n: int) -> Column:

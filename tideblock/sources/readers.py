@@ -2,23 +2,29 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..model import EngineError
+from ..model import EngineError, in_range
 from ..operators.ordered import positions, running_last
 
 #: Texts that stand for a missing value.
 MISSING = ("", "?", "nan", "NaN", "NA", "N/A", "null")
 
 
-def read_series(spark: SparkSession, path: str, ts: str = "ts_ns", unit_ns: int = 1) -> DataFrame:
-    """A Parquet table as a series: ts_ns from the column `ts`, a long in units of unit_ns nanoseconds or a time of microseconds."""
+def read_series(spark: SparkSession, path: str, ts: str = "ts_ns", unit_ns: int = 1, t_from: int | None = None, t_to: int | None = None) -> DataFrame:
+    """A Parquet table as a series: ts_ns from the column `ts`, a long in units of unit_ns nanoseconds or a time of microseconds.
+
+    t_from and t_to (nanoseconds, inclusive) become bounds on the stored column, which reach the Parquet scan, as bounds on ts_ns cannot.
+    """
     df = spark.read.parquet(path)
     kind = df.schema[ts].dataType
+    if t_from is not None or t_to is not None:
+        df = df.filter(in_range(F.col(ts), *(None if t is None else stored_instant(t, kind, unit_ns, up) for t, up in ((t_from, True), (t_to, False)))))
     if isinstance(kind, T.IntegralType):
         at = F.col(ts).cast("long") * F.lit(unit_ns)
     elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
@@ -28,6 +34,16 @@ def read_series(spark: SparkSession, path: str, ts: str = "ts_ns", unit_ns: int
     return df.withColumn("ts_ns", at)
 
 
+def stored_instant(t_ns: int, kind: T.DataType, unit_ns: int, up: bool) -> Column:
+    """The first stored time at or after an instant, or with `up` false the last at or before it, as a literal of the column's kind."""
+    unit = unit_ns if isinstance(kind, T.IntegralType) else 1000
+    units = -(-t_ns // unit) if up else t_ns // unit
+    if isinstance(kind, T.IntegralType):
+        return F.lit(units)
+    at = datetime(1970, 1, 1) + timedelta(microseconds=units)
+    return F.timestamp_micros(F.lit(units)) if isinstance(kind, T.TimestampType) else F.lit(at.isoformat(" ", "microseconds")).cast("timestamp_ntz")
+
+
 def micros(column: str, kind: T.DataType) -> Column:
     """Microseconds since the epoch; a time without zone counts as UTC, whatever the session's zone."""
     if isinstance(kind, T.TimestampType):
