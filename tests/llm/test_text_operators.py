@@ -116,7 +116,9 @@ def test_simhash(odd, odd_rows, empty, clashing):
     assert simhash.near_groups(empty).count() == 0
 
 
-def test_simhash_links_over_chains_and_segments(spark):
+@pytest.mark.parametrize("crowded", [512, 1])
+def test_simhash_links_over_chains_and_segments(spark, monkeypatch, crowded):
+    monkeypatch.setattr(simhash, "CROWDED", crowded)
     rng = random.Random(2)
     fps = {rng.getrandbits(64) for _ in range(150)}
     for f in list(fps)[:60]:
@@ -208,6 +210,16 @@ def test_near_copies_by_words_are_linked(spark):
     base = [f"y{i}" for i in range(120)]  # one crowd, beyond CROWD
     for i in range(80):
         rows.append((len(rows), " ".join(f"z{i}" if j == rng.randrange(120) else x for j, x in enumerate(base))))
+    for passage in ([f"p{i}" for i in range(150)], [f"q{i}" for i in range(60)]):
+        # copies that are near the first one alone, and texts that share a passage and no more
+        rows.append((len(rows), " ".join(passage)))
+        for i in range(60):
+            own = list(passage)
+            for j in rng.sample(range(5, len(own) - 5), len(own) // 50):
+                own[j] = f"c{i}.{j}"
+            rows.append((len(rows), " ".join(own)))
+        for i in range(60):
+            rows.append((len(rows), " ".join([*passage, *(f"o{i}.{j}" for j in range(len(passage) // rng.choice((2, 3, 4))))])))
     rows += [(len(rows), None), (len(rows) + 1, "")]
     sets = [simhash.shingles((t or "").encode()) for _, t in rows]
     fps = [brute_fingerprint(t) for _, t in rows]

@@ -4,13 +4,19 @@ Fingerprints of 64 bits are cut into two segments of 32. Two fingerprints at
 most 3 bits apart differ in at most one bit of one segment, so each distinct
 fingerprint looks up, for either segment, the segment itself and those one bit
 above it (the pair with the bit the other way round is found from its other
-end), and complete distances are verified in the join.
+end), and complete distances are verified in the join. Where a segment is shared by
+more than CROWDED fingerprints, they meet only if one of four pieces of the other
+segment is equal too, as it must be with 3 differing bits.
 
 Where a Jaccard similarity is asked for too, texts are also linked whose sets of
 5-word shingles (or whole texts, where shorter) are that similar. Candidates share
 one of BANDS bands of ROWS MinHash values: a pair at 0.8 is missed once in 4500.
-Of a band's bucket beyond CROWD texts each text meets the smallest and about CROWD
-others, others in each band. The sets of all candidates are compared word by word.
+The sets of all candidates are compared word by word. In a band's bucket of up to CROWD
+texts all meet. In one beyond that some are asked against the rest, first those
+with most company, then more of those outside the bucket's largest component, until all
+of these have been asked: what was not compared lies in one component already. Asked
+texts are compared with those whose MinHash values agree well enough: a pair at
+0.8 is missed less than once in 100,000.
 
 Null and empty texts have fingerprint zero, which links like any other. Exact
 copies share one node, so a group of copies of any size costs one row; repeated
@@ -20,10 +26,12 @@ empty result. Only the id and text columns are read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bytes_of, sliced, written
@@ -31,8 +39,12 @@ from .components import connected
 
 #: Shingles that are unpacked to bits at once.
 BLOCK = 1 << 15
-#: MinHash bands, values in a band, and texts of a bucket that all meet.
-BANDS, ROWS, CROWD = 16, 4, 16
+#: Fingerprints that share a segment and all meet.
+CROWDED = 512
+#: MinHash bands, values in a band, texts of a bucket that all meet, and those asked first in larger ones.
+BANDS, ROWS, CROWD, ASKED = 16, 4, 16, 4
+#: Of the BANDS * ROWS values, how many may differ (in their last four bits) between texts that are compared.
+DIFFER = 29
 _MULTIPLY = np.random.default_rng(1).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -70,11 +82,11 @@ def shingles(text: bytes, k: int = 5) -> set[bytes]:
     return {b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
 
 
-def bands(text: bytes, k: int = 5) -> list[int]:
-    """BANDS hashes, each of ROWS MinHash values of the shingles; none for a text without words."""
+def bands(text: bytes, k: int = 5) -> tuple[list[int], list[int]]:
+    """BANDS hashes, each of ROWS MinHash values of the shingles, and the last four bits of all values as four integers; none for a text without words."""
     found = shingles(text, k)
     if not found:
-        return []
+        return [], []
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
     least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
     for i in range(0, len(hashes), BLOCK // 8):
@@ -82,28 +94,12 @@ def bands(text: bytes, k: int = 5) -> list[int]:
         mixed ^= mixed >> np.uint64(32)
         mixed *= np.uint64(0x9E3779B97F4A7C15)
         least = np.minimum(least, mixed.min(axis=0))
-    return [xxhash.xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i) - (1 << 63) for i in range(BANDS)]
-
+    bits = [int(np.packbits((least >> np.uint64(j) & np.uint64(1)).astype(np.uint8)).view(">i8")[0]) for j in range(4)]
+    return [xxhash.xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i) - (1 << 63) for i in range(BANDS)], bits
 
-def similar(docs: DataFrame, text_col: str = "text", least: float = 0.8, most: int = 3, k: int = 5) -> DataFrame:
-    """Pairs a, b of fingerprints, more than `most` bits apart, of texts whose sets of k-word shingles have a Jaccard similarity of `least` or more."""
-    texts = docs.select(F.xxhash64(text_col).alias("text_id"), F.col(text_col).alias("body")).filter("body IS NOT NULL")
-
-    def sketch(batches):
-        for part in sliced(batches, "body"):
-            bodies = bytes_of(part.column("body"))
-            yield pa.RecordBatch.from_arrays([part.column("text_id"), pa.array([fingerprint(x) for x in bodies], pa.int64()), pa.array([bands(x, k) for x in bodies], pa.list_(pa.int64()))], ["text_id", "fp", "bands"])
 
-    sketches = texts.mapInArrow(sketch, "text_id long, fp long, bands array<long>")
-    # one row of each text: a fingerprint and the bands follow from it
-    members = written(sketches.selectExpr("text_id", "fp", "explode(bands) AS band").distinct(), "bands")
-    buckets = members.groupBy("band").agg(F.count("*").alias("n"), F.min(F.struct("text_id", "fp")).alias("first"), F.min("fp").alias("low"), F.max("fp").alias("high"))
-    buckets = written(buckets.filter("n > 1 AND low != high").select("band", "n", "first"), "buckets")
-    placed = written(members.join(buckets, "band").withColumn("crowd", F.expr(f"pmod(xxhash64(text_id, band), ceil(n / {CROWD}))")), "placed")
-    other = placed.selectExpr("text_id AS other", "fp AS other_fp", "band", "crowd")
-    met = placed.join(other, ["band", "crowd"]).filter("text_id < other").select("text_id", "fp", "other", "other_fp")
-    met = met.unionByName(placed.filter("first.text_id < text_id").selectExpr("first.text_id AS text_id", "first.fp AS fp", "text_id AS other", "fp AS other_fp"))
-    pairs = written(met.filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("other_fp"))) > most).distinct(), "pairs")
+def _alike(pairs: DataFrame, texts: DataFrame, least: float, k: int) -> DataFrame:
+    """Of pairs text_id, other of texts and their fingerprints fp, other_fp: a, b, the fingerprints of those as similar as asked."""
     wanted = pairs.select("text_id").unionByName(pairs.selectExpr("other AS text_id")).distinct()
     needed = written(texts.join(wanted, "text_id", "left_semi").groupBy("text_id").agg(F.first("body").alias("body")), "texts")
     both = pairs.join(needed, "text_id").join(needed.selectExpr("text_id AS other", "body AS other_body"), "other")
@@ -125,6 +121,58 @@ def similar(docs: DataFrame, text_col: str = "text", least: float = 0.8, most: i
     return both.select("other", "fp", "other_fp", "body", "other_body").mapInArrow(verify, "a long, b long")
 
 
+def similar(docs: DataFrame, near: DataFrame, text_col: str = "text", least: float = 0.8, most: int = 3, k: int = 5) -> DataFrame:
+    """Components (node, root) of fingerprints over links near (a, b) and those of texts whose sets of k-word shingles have a Jaccard similarity of `least` or more."""
+    texts = docs.select(F.xxhash64(text_col).alias("text_id"), F.col(text_col).alias("body")).filter("body IS NOT NULL")
+
+    def sketch(batches):
+        for part in sliced(batches, "body"):
+            bodies = bytes_of(part.column("body"))
+            found = [bands(x, k) for x in bodies]
+            bits = [pa.array([x[j] if x else None for _, x in found], pa.int64()) for j in range(4)]
+            yield pa.RecordBatch.from_arrays([part.column("text_id"), pa.array([fingerprint(x) for x in bodies], pa.int64()), pa.array([x for x, _ in found], pa.list_(pa.int64())), *bits], ["text_id", "fp", "bands", "s0", "s1", "s2", "s3"])
+
+    bits = ["s0", "s1", "s2", "s3"]
+    sketches = written(texts.mapInArrow(sketch, "text_id long, fp long, bands array<long>, s0 long, s1 long, s2 long, s3 long"), "sketches")
+    # one row of each text: a fingerprint and the bands follow from it
+    members = written(sketches.selectExpr("text_id", "fp", "explode(bands) AS band").distinct(), "bands")
+    buckets = members.groupBy("band").agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high"))
+    buckets = written(buckets.filter("n > 1 AND low != high").select("band", "n"), "buckets")
+    placed = written(members.join(buckets, "band"), "placed")
+    far = F.bit_count(F.col("fp").bitwiseXOR(F.col("other_fp"))) > most
+    few = placed.filter(F.col("n") <= CROWD).select("text_id", "fp", "band")
+    met = few.join(few.selectExpr("text_id AS other", "fp AS other_fp", "band"), "band").filter("text_id < other").filter(far)
+    pairs = written(met.select("text_id", "fp", "other", "other_fp").distinct(), "pairs")
+    groups = written(connected(near.unionByName(_alike(pairs, texts, least, k))), "groups")
+
+    crowd = placed.filter(F.col("n") > CROWD)
+    if crowd.isEmpty():
+        return groups
+    weights = crowd.groupBy("text_id", "fp").agg(F.sum("n").alias("weight"))
+    known = written(weights.join(sketches.select("text_id", *bits).distinct(), "text_id"), "known")
+    crowd = written(crowd.select("band", "text_id").join(known, "text_id"), "crowd")
+    asked = crowd.select("band", "text_id").limit(0)
+    ask, by_weight = ASKED, Window.partitionBy("band").orderBy(F.desc("weight"), "text_id")
+    while True:
+        now = crowd.join(groups.withColumnsRenamed({"node": "fp", "root": "label"}), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+        now = written(now, "now")
+        largest = now.groupBy("band", "label").agg(F.count("*").alias("size")).groupBy("band").agg(F.max(F.struct("size", "label")).alias("top"), F.count("*").alias("labels"))
+        opened = written(largest.filter("labels > 1").select("band", F.col("top.label").alias("main")), "open")
+        left = now.join(opened, "band").join(asked, ["band", "text_id"], "left_anti")
+        if ask > ASKED:  # at first all are asked alike, as the largest component has no weight yet
+            left = left.filter("label != main")
+        picked = written(left.withColumn("nth", F.row_number().over(by_weight)).filter(F.col("nth") <= ask).select("band", "text_id", "fp", "label", *bits), "asked")
+        if picked.isEmpty():
+            return groups
+        others = picked.select("band", F.col("text_id").alias("other"), F.col("fp").alias("other_fp"), F.col("label").alias("other_label"), *(F.col(x).alias(f"o{x}") for x in bits))
+        unlike = F.bit_count(reduce(Column.bitwiseOR, [F.col(x).bitwiseXOR(F.col(f"o{x}")) for x in bits]))
+        met = now.join(others, "band").filter("label != other_label").filter(far & (unlike <= DIFFER))
+        pairs = written(met.select("text_id", "fp", "other", "other_fp").distinct(), "pairs")
+        groups = written(connected(groups.selectExpr("node AS a", "root AS b").unionByName(_alike(pairs, texts, least, k))), "groups")
+        asked = asked.unionByName(picked.select("band", "text_id"))
+        ask *= 4
+
+
 def links(nodes: DataFrame, most: int = 3) -> DataFrame:
     """Pairs a, b of distinct fingerprints in column fp at most `most` (up to 3) bits apart; a pair can come twice."""
     if not 0 <= most <= 3:
@@ -133,25 +181,34 @@ def links(nodes: DataFrame, most: int = 3) -> DataFrame:
     parts = nodes.selectExpr("fp", f"inline({halves})")
     above = "filter(transform(sequence(0, 31), i -> half | shiftleft(1L, i)), x -> x != half)"
     probes = parts.selectExpr("fp AS a", "seg", "half AS own", f"explode(concat(array(half), {above})) AS half").selectExpr("a", "seg", "half", "own = half AS same")
-    return (
-        probes.join(parts.withColumnRenamed("fp", "b").hint("merge"), ["seg", "half"])
-        .filter((F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most) & (F.col("a") != F.col("b")) & (~F.col("same") | (F.col("a") < F.col("b"))))
-        .select("a", "b")
-    )
+    close = (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most) & (F.col("a") != F.col("b")) & (~F.col("same") | (F.col("a") < F.col("b")))
+    met = lambda left, right, key: left.join(right.withColumnRenamed("fp", "b").hint("merge"), key).filter(close).select("a", "b")
+    crowded = written(parts.groupBy("seg", "half").agg(F.count("*").alias("n")).filter(F.col("n") > CROWDED).select("seg", "half"), "crowded")
+    if crowded.isEmpty():
+        return met(probes, parts, ["seg", "half"])
+    # a crowded segment's fingerprints are told apart by pieces of the other segment
+    pieces = "posexplode(transform(sequence(0, 3), i -> shiftrightunsigned({0}, 32 * (1 - seg) + 8 * i) & 255)) AS (nth, piece)"
+    apart = lambda df: df.join(crowded, ["seg", "half"], "left_anti")
+    split = lambda df, fp: df.join(crowded, ["seg", "half"], "left_semi").selectExpr("*", pieces.format(fp))
+    return met(apart(probes), apart(parts), ["seg", "half"]).unionByName(met(split(probes, "a"), split(parts, "fp"), ["seg", "half", "nth", "piece"]))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = 3, least: float | None = None) -> DataFrame:
     """Of each row: id, fp and component_id, the smallest id reachable over links of `most` bits or fewer (null ids give no name), and over those of a Jaccard similarity of `least` or more where that is given.
 
-    The fingerprints are kept as a table, as hashing all shingles is the dear part.
+    The fingerprints are kept as a table, as hashing all shingles is the dear part. Those
+    of more than a thousandth of the rows, a thousand at most, are broadcast to
+    their rows at the end, so that no task sees all rows of one.
     """
     fps = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = fps.groupBy("fp").agg(F.min(id_col).alias("first_id"))
+    nodes = written(fps.groupBy("fp").agg(F.min(id_col).alias("first_id"), F.count("*").alias("n")), "nodes")
     near = links(nodes.select("fp"), most)
-    groups = connected(near if least is None else near.unionByName(similar(docs, text_col, least, most)))
+    groups = connected(near) if least is None else similar(docs, near, text_col, least, most)
     # few fingerprints have links: the component's smallest id is found among those alone
     named = groups.join(nodes, groups.node == nodes.fp).groupBy("root").agg(F.min("first_id").alias("component_id"))
     linked = groups.join(named, "root").select(F.col("node").alias("fp"), "component_id")
-    # written, so that the rows of one fingerprint are dealt for the last join alone and can be split
-    owners = written(nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id")), "owners")
-    return fps.join(owners, "fp").select(id_col, "fp", "component_id")
+    owners = written(nodes.join(linked, "fp", "left").select("fp", "n", F.coalesce("component_id", "first_id").alias("component_id")), "owners")
+    total = owners.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = F.broadcast(owners.filter(F.col("n") * 1000 > total).select("fp", "component_id"))
+    rest = fps.join(hot.select("fp"), "fp", "left_anti").join(owners.filter(F.col("n") * 1000 <= total).select("fp", "component_id"), "fp")
+    return fps.join(hot, "fp").unionByName(rest).select(id_col, "fp", "component_id")
