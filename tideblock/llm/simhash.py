@@ -11,12 +11,13 @@ segment is equal too, as it must be with 3 differing bits.
 Where a Jaccard similarity is asked for too, texts are also linked whose sets of
 5-word shingles (or whole texts, where shorter) are that similar. Candidates share
 one of BANDS bands of ROWS MinHash values: a pair at 0.8 is missed once in 4500.
-The sets of all candidates are compared word by word. In a band's bucket of up to CROWD
-texts all meet. In one beyond that some are asked against the rest, first those
+The whole sets of candidates are compared, as 64-bit hashes of their shingles. In a
+band's bucket of up to CROWD texts all meet. In one beyond that some are asked against the rest, first those
 with most company, then more of those outside the bucket's largest component, until all
 of these have been asked: what was not compared lies in one component already. Asked
-texts are compared with those whose MinHash values agree well enough: a pair at
-0.8 is missed less than once in 100,000.
+texts are compared with those of whose SIGNED further MinHash values enough agree: a
+pair at 0.8 is missed less than once in 100,000. Their number is that of asked texts
+times the bucket's, so a bucket of many texts that are nearly, but not, similar is the dear case.
 
 Null and empty texts have fingerprint zero, which links like any other. Exact
 copies share one node, so a group of copies of any size costs one row; repeated
@@ -43,9 +44,9 @@ BLOCK = 1 << 15
 CROWDED = 512
 #: MinHash bands, values in a band, texts of a bucket that all meet, and those asked first in larger ones.
 BANDS, ROWS, CROWD, ASKED = 16, 4, 16, 4
-#: Of the BANDS * ROWS values, how many may differ (in their last four bits) between texts that are compared.
-DIFFER = 29
-_MULTIPLY = np.random.default_rng(1).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+#: MinHash values by which texts of large buckets are told apart, four bits of each, and how many may differ.
+SIGNED, DIFFER = 512, 136
+_MULTIPLY = np.random.default_rng(1).integers(0, 1 << 63, BANDS * ROWS + SIGNED, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint(text: bytes, k: int = 3, seed: int = 42) -> int:
@@ -82,43 +83,60 @@ def shingles(text: bytes, k: int = 5) -> set[bytes]:
     return {b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
 
 
-def bands(text: bytes, k: int = 5) -> tuple[list[int], list[int]]:
-    """BANDS hashes, each of ROWS MinHash values of the shingles, and the last four bits of all values as four integers; none for a text without words."""
+def shingle_hashes(text: bytes, k: int = 5) -> np.ndarray:
     found = shingles(text, k)
-    if not found:
-        return [], []
-    hashes = np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
-    for i in range(0, len(hashes), BLOCK // 8):
-        mixed = hashes[i : i + BLOCK // 8, None] * _MULTIPLY
+    return np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))
+
+
+def minima(hashes: np.ndarray, multiply: np.ndarray) -> np.ndarray:
+    """MinHash values of a set of hashes, one for each multiplier."""
+    least = np.full(len(multiply), np.iinfo(np.uint64).max)
+    step = max(1, (BLOCK << 3) // len(multiply))
+    for i in range(0, len(hashes), step):
+        mixed = hashes[i : i + step, None] * multiply
         mixed ^= mixed >> np.uint64(32)
         mixed *= np.uint64(0x9E3779B97F4A7C15)
         least = np.minimum(least, mixed.min(axis=0))
-    bits = [int(np.packbits((least >> np.uint64(j) & np.uint64(1)).astype(np.uint8)).view(">i8")[0]) for j in range(4)]
-    return [xxhash.xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i) - (1 << 63) for i in range(BANDS)], bits
+    return least
+
+
+def bands(text: bytes, k: int = 5) -> list[int]:
+    """BANDS hashes, each of ROWS MinHash values of the shingles; none for a text without words."""
+    hashes = shingle_hashes(text, k)
+    if not len(hashes):
+        return []
+    least = minima(hashes, _MULTIPLY[: BANDS * ROWS])
+    return [xxhash.xxh64_intdigest(least[i * ROWS : (i + 1) * ROWS].tobytes(), i) - (1 << 63) for i in range(BANDS)]
+
+
+def signature(hashes: np.ndarray) -> np.ndarray:
+    """The last four bits of SIGNED MinHash values, in columns of 64: bit 0 of the first 64 values, bit 1 of them, and so on."""
+    least = minima(hashes, _MULTIPLY[BANDS * ROWS :])
+    bits = (least[:, None] >> np.arange(4, dtype=np.uint64) & np.uint64(1)).astype(np.uint8).reshape(-1, 64, 4)
+    return np.packbits(bits.transpose(0, 2, 1).reshape(-1, 64), axis=1).view(">i8").ravel().astype(np.int64)
+
+
+_SIGNS = [f"s{i}" for i in range(SIGNED // 16)]
 
 
-def _alike(pairs: DataFrame, texts: DataFrame, least: float, k: int) -> DataFrame:
+def _sets(wanted: DataFrame, texts: DataFrame, k: int, name: str) -> DataFrame:
+    """text_id, size and hashes of the shingles of the texts wanted, and their signatures."""
+    needed = texts.join(wanted, "text_id", "left_semi").groupBy("text_id").agg(F.first("body").alias("body"))
+
+    def run(batches):
+        for part in sliced(batches, "body"):
+            found = [shingle_hashes(x, k) for x in bytes_of(part.column("body"))]
+            signs = np.array([signature(x) for x in found], np.int64).reshape(-1, len(_SIGNS))
+            yield pa.RecordBatch.from_arrays([part.column("text_id"), pa.array([len(x) for x in found], pa.int32()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64())), *(pa.array(x) for x in signs.T)], ["text_id", "size", "hashes", *_SIGNS])
+
+    return written(needed.mapInArrow(run, "text_id long, size int, hashes array<long>, " + ", ".join(f"{x} long" for x in _SIGNS)), name)
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Of pairs text_id, other of texts and their fingerprints fp, other_fp: a, b, the fingerprints of those as similar as asked."""
-    wanted = pairs.select("text_id").unionByName(pairs.selectExpr("other AS text_id")).distinct()
-    needed = written(texts.join(wanted, "text_id", "left_semi").groupBy("text_id").agg(F.first("body").alias("body")), "texts")
-    both = pairs.join(needed, "text_id").join(needed.selectExpr("text_id AS other", "body AS other_body"), "other")
-
-    def verify(batches):
-        last, own = None, set()  # of the text met last, as the join leaves those of one text together
-        for batch in batches:
-            for part in sliced([batch], "body"):
-                kept = []
-                for i, (name, x, y) in enumerate(zip(part.column("other").to_pylist(), bytes_of(part.column("body")), bytes_of(part.column("other_body")), strict=True)):
-                    if name != last:
-                        last, own = name, shingles(y, k)
-                    a = shingles(x, k)
-                    n = len(a & own)
-                    if n >= least * (len(a) + len(own) - n):
-                        kept.append(i)
-                yield part.select(["fp", "other_fp"]).take(pa.array(kept, pa.int64())).rename_columns(["a", "b"])
-
-    return both.select("other", "fp", "other_fp", "body", "other_body").mapInArrow(verify, "a long, b long")
+    both = pairs.join(sets.select("text_id", "size", "hashes"), "text_id").join(sets.selectExpr("text_id AS other", "size AS other_size", "hashes AS other_hashes"), "other")
+    shared = both.withColumn("n", F.size(F.array_intersect("hashes", "other_hashes")))
+    return written(shared.filter(F.col("n") >= F.lit(least) * (F.col("size") + F.col("other_size") - F.col("n"))).selectExpr("fp AS a", "other_fp AS b"), "alike")
 
 
 def similar(docs: DataFrame, near: DataFrame, text_col: str = "text", least: float = 0.8, most: int = 3, k: int = 5) -> DataFrame:
@@ -128,12 +146,9 @@ def similar(docs: DataFrame, near: DataFrame, text_col: str = "text", least: flo
     def sketch(batches):
         for part in sliced(batches, "body"):
             bodies = bytes_of(part.column("body"))
-            found = [bands(x, k) for x in bodies]
-            bits = [pa.array([x[j] if x else None for _, x in found], pa.int64()) for j in range(4)]
-            yield pa.RecordBatch.from_arrays([part.column("text_id"), pa.array([fingerprint(x) for x in bodies], pa.int64()), pa.array([x for x, _ in found], pa.list_(pa.int64())), *bits], ["text_id", "fp", "bands", "s0", "s1", "s2", "s3"])
+            yield pa.RecordBatch.from_arrays([part.column("text_id"), pa.array([fingerprint(x) for x in bodies], pa.int64()), pa.array([bands(x, k) for x in bodies], pa.list_(pa.int64()))], ["text_id", "fp", "bands"])
 
-    bits = ["s0", "s1", "s2", "s3"]
-    sketches = written(texts.mapInArrow(sketch, "text_id long, fp long, bands array<long>, s0 long, s1 long, s2 long, s3 long"), "sketches")
+    sketches = texts.mapInArrow(sketch, "text_id long, fp long, bands array<long>")
     # one row of each text: a fingerprint and the bands follow from it
     members = written(sketches.selectExpr("text_id", "fp", "explode(bands) AS band").distinct(), "bands")
     buckets = members.groupBy("band").agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high"))
@@ -143,34 +158,37 @@ def similar(docs: DataFrame, near: DataFrame, text_col: str = "text", least: flo
     few = placed.filter(F.col("n") <= CROWD).select("text_id", "fp", "band")
     met = few.join(few.selectExpr("text_id AS other", "fp AS other_fp", "band"), "band").filter("text_id < other").filter(far)
     pairs = written(met.select("text_id", "fp", "other", "other_fp").distinct(), "pairs")
-    groups = written(connected(near.unionByName(_alike(pairs, texts, least, k))), "groups")
+    wanted = pairs.select("text_id").unionByName(pairs.selectExpr("other AS text_id")).distinct()
+    groups = written(connected(near.unionByName(_alike(pairs, _sets(wanted, texts, k, "sets"), least))), "groups")
 
     crowd = placed.filter(F.col("n") > CROWD)
-    if crowd.isEmpty():
+    weights = written(crowd.groupBy("text_id", "fp").agg(F.sum("n").alias("weight")), "weights")
+    if weights.isEmpty():
         return groups
-    weights = crowd.groupBy("text_id", "fp").agg(F.sum("n").alias("weight"))
-    known = written(weights.join(sketches.select("text_id", *bits).distinct(), "text_id"), "known")
-    crowd = written(crowd.select("band", "text_id").join(known, "text_id"), "crowd")
+    sets = _sets(weights, texts, k, "crowd-sets")
+    crowd = written(crowd.select("band", "text_id").join(weights, "text_id").join(sets.drop("hashes"), "text_id"), "crowd")
     asked = crowd.select("band", "text_id").limit(0)
     ask, by_weight = ASKED, Window.partitionBy("band").orderBy(F.desc("weight"), "text_id")
     while True:
-        now = crowd.join(groups.withColumnsRenamed({"node": "fp", "root": "label"}), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-        now = written(now, "now")
-        largest = now.groupBy("band", "label").agg(F.count("*").alias("size")).groupBy("band").agg(F.max(F.struct("size", "label")).alias("top"), F.count("*").alias("labels"))
-        opened = written(largest.filter("labels > 1").select("band", F.col("top.label").alias("main")), "open")
+        now = written(crowd.join(groups.withColumnsRenamed({"node": "fp", "root": "label"}), "fp", "left").withColumn("label", F.coalesce("label", "fp")), "now")
+        largest = now.groupBy("band", "label").agg(F.count("*").alias("n")).groupBy("band").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels"))
+        opened = largest.filter("labels > 1").select("band", F.col("top.label").alias("main"))
         left = now.join(opened, "band").join(asked, ["band", "text_id"], "left_anti")
-        if ask > ASKED:  # at first all are asked alike, as the largest component has no weight yet
+        if ask > ASKED:  # at first those with most company are asked, whatever their component
             left = left.filter("label != main")
-        picked = written(left.withColumn("nth", F.row_number().over(by_weight)).filter(F.col("nth") <= ask).select("band", "text_id", "fp", "label", *bits), "asked")
+        picked = written(left.withColumn("nth", F.row_number().over(by_weight)).filter(F.col("nth") <= ask).select("band", "text_id", "fp", "label", "size", *_SIGNS), "asked")
         if picked.isEmpty():
             return groups
-        others = picked.select("band", F.col("text_id").alias("other"), F.col("fp").alias("other_fp"), F.col("label").alias("other_label"), *(F.col(x).alias(f"o{x}") for x in bits))
-        unlike = F.bit_count(reduce(Column.bitwiseOR, [F.col(x).bitwiseXOR(F.col(f"o{x}")) for x in bits]))
-        met = now.join(others, "band").filter("label != other_label").filter(far & (unlike <= DIFFER))
-        pairs = written(met.select("text_id", "fp", "other", "other_fp").distinct(), "pairs")
-        groups = written(connected(groups.selectExpr("node AS a", "root AS b").unionByName(_alike(pairs, texts, least, k))), "groups")
+        others = picked.select("band", F.col("text_id").alias("other"), F.col("fp").alias("other_fp"), F.col("label").alias("other_label"), F.col("size").alias("other_size"), *(F.col(x).alias(f"o{x}") for x in _SIGNS))
+        differ = [F.col(x).bitwiseXOR(F.col(f"o{x}")) for x in _SIGNS]
+        unlike = reduce(Column.__add__, [F.bit_count(reduce(Column.bitwiseOR, differ[i : i + 4])) for i in range(0, len(differ), 4)])
+        sized = F.least("size", "other_size") >= F.lit(least) * F.greatest("size", "other_size")
+        met = now.join(others, "band").filter("label != other_label").filter(sized & far).filter(unlike <= DIFFER)
+        found = _alike(written(met.select("text_id", "fp", "other", "other_fp").distinct(), "pairs"), sets, least)
+        if not found.isEmpty():
+            groups = written(connected(groups.selectExpr("node AS a", "root AS b").unionByName(found)), "groups")
         asked = asked.unionByName(picked.select("band", "text_id"))
-        ask *= 4
+        ask *= 16
 
 
 def links(nodes: DataFrame, most: int = 3) -> DataFrame:
