@@ -334,6 +334,15 @@ def test_long_and_followed_expressions():
     assert licenses.scan(b"SPDX-License-Identifier: MIT OR\nby X")["labels"] == "other"
 
 
+def test_labels_are_of_whole_identifiers():
+    for text, labels, free in (
+        (b"SPDX-License-Identifier: MIT, see LICENSE", "mit", True), (b'"SPDX-License-Identifier: MIT"; int x;', "mit", True), (b"SPDX-License-Identifier: CC-BY-NC-4.0", "cc-by-nc", False), (b"SPDX-License-Identifier: CC-BY-ND-4.0", "cc-by-nd", False),
+        (b"SPDX-License-Identifier: 0BSD OR Zlib", "bsd,zlib", True), (b"SPDX-License-Identifier: GPL-2.0-or-later", "gpl", False), (b"SPDX-License-Identifier: MITish", "other", False), (b"SPDX-License-Identifier: Artistic-2.0", "artistic", False),
+    ):
+        got = licenses.scan(text)
+        assert (got["labels"], got["free"]) == (labels, free) or "cc-by" in labels and (got["labels"], got["free"]) == (f"cc-by,{labels}", free), got
+
+
 def test_expressions_bind_as_they_should():
     assert licenses.evaluate("GPL-3.0 OR MIT AND Apache-2.0") == ({"gpl", "mit", "apache"}, True)
     assert licenses.evaluate("(GPL-3.0 OR MIT) AND GPL-2.0 WITH x") == ({"gpl", "mit"}, False)
@@ -454,6 +463,38 @@ def test_quality_on_held_out_rows(spark, small):
     assert np.mean([g > j for g in good for j in junk]) > 0.97
 
 
+def test_ratios_count_and_descent_reaches_the_optimum():
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 60, rng.integers(1, 12))) for _ in range(160)]
+    labels = np.array([int((x < 20).sum() > (x >= 40).sum()) for x in rows])
+    r = quality.ratios(rows, labels, 6)
+    counts = [[1 + sum(j in x and y == c for x, y in zip(rows, labels.tolist(), strict=True)) for j in range(64)] for c in (0, 1)]
+    for j in range(64):
+        want = np.log(counts[1][j] / sum(counts[1])) - np.log(counts[0][j] / sum(counts[0])) if counts[0][j] + counts[1][j] - 2 >= 3 else 0
+        assert abs(r[j] - want) < 1e-12
+    own = [quality.scaled(x, r) for x in rows]
+    w = quality.descend(own, labels, 64, epochs=4000)
+    x = np.zeros((len(rows), 65))
+    x[:, 64] = 1
+    for i, (ids, v) in enumerate(own):
+        x[i, ids] = v
+    sign, share = np.where(labels == 1, 1.0, -1.0), np.array([np.mean(labels == 0), np.mean(labels == 1)])
+    cost = 0.5 / share[labels]
+    primal = lambda w: 0.5 * w @ w + (cost * np.maximum(0, 1 - sign * (x @ w))).sum()
+    for _ in range(300):  # convex: no step from the optimum leads lower
+        assert primal(w) <= primal(w + rng.normal(size=65) * rng.choice([1e-3, 1e-2, 0.1, 1])) + 1e-2
+
+
+def test_repeated_ids_are_one_row_of_the_fit(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice(["good", "fine"] if i % 2 else ["bad", "junk"]) + str(rng.randint(0, 9)) for _ in range(30))) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    models = [quality.unpack(quality.train(spark.createDataFrame(x, "doc_id long, text string"), labels, F.lit(True))) for x in (rows, [*rows, *[rows[3]] * 200])]
+    assert np.allclose(models[0]["weights"], models[1]["weights"]) and models[0]["a"] == models[1]["a"]
+
+
 def test_quality_handles_odd_rows(spark, odd, odd_rows, empty, clashing):
     from pyspark.sql import functions as F
 

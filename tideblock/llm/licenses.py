@@ -38,9 +38,14 @@ NOTICES = {
     "released into the public domain": ("public-domain", 0.7),
     "all rights reserved": ("reserved", 0.5),
 }
-#: Starts of identifiers -> label, the longest start wins; and the labels whose works may be used freely.
-FAMILIES = {"gpl": "gpl", "lgpl": "lgpl", "agpl": "agpl", "apache": "apache", "mit": "mit", "bsd": "bsd", "mpl": "mpl", "epl": "epl", "bsl": "bsl", "cc-by": "cc-by", "cc0": "cc0", "isc": "isc", "unlicense": "public-domain"}
-FREE = frozenset({"apache", "mit", "bsd", "bsl", "cc-by", "cc0", "isc", "public-domain"})
+#: Names of licence families -> label; a version or the like may follow a name. And the labels whose works may be used freely.
+FAMILIES = {
+    "gpl": "gpl", "lgpl": "lgpl", "agpl": "agpl", "apache": "apache", "mit": "mit", "bsd": "bsd", "0bsd": "bsd", "mpl": "mpl", "epl": "epl", "bsl": "bsl", "isc": "isc", "zlib": "zlib", "artistic": "artistic", "ofl": "ofl", "ncsa": "ncsa", "cddl": "cddl", "eupl": "eupl",
+    "postgresql": "postgresql", "python": "python", "psf": "python", "wtfpl": "wtfpl", "x11": "mit", "unlicense": "public-domain", "cc0": "cc0", "cc-by": "cc-by", "cc-by-sa": "cc-by-sa", "cc-by-nc": "cc-by-nc", "cc-by-nd": "cc-by-nd", "cc-by-nc-sa": "cc-by-nc-sa", "cc-by-nc-nd": "cc-by-nc-nd",
+}
+FREE = frozenset({"apache", "mit", "bsd", "bsl", "cc-by", "cc0", "isc", "zlib", "ncsa", "postgresql", "python", "wtfpl", "public-domain"})
+#: What may follow a family's name in an identifier.
+_AFTER = re.compile(r"(?:-?v?[0-9][a-z0-9.+-]*|\+|-only|-or-later)?")
 TAG = "spdx license identifier"
 _TAG = re.compile(rb"spdx-license-identifier\s*:[ \t]*((?:(?!spdx-license-identifier\s*:)[^\r\n])*)", re.I)
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+:-]+")
@@ -91,7 +96,7 @@ def postfix(expression: str) -> list[str]:
 
 
 def leading(line: str) -> str:
-    """The line as far as words can belong to one expression: up to where an operand stands, outside brackets, though an operator is due.
+    """The line as far as words can belong to one expression: up to where an operand stands, outside brackets, though an operator is due, or to a mark that no expression has.
 
     >>> leading("MIT OR (Apache-2.0) Copyright X")
     'MIT OR (Apache-2.0)'
@@ -99,18 +104,18 @@ def leading(line: str) -> str:
     operand, depth, end = True, 0, 0
     for m in _TOKEN.finditer(line):
         token = m[0].lower()
-        if not operand and not depth and token != ")" and token not in _BINDS:
+        if line[end : m.start()].strip() or not operand and not depth and token != ")" and token not in _BINDS:
             return line[:end]
         depth += (token == "(") - (token == ")")
         operand = token == "(" or token in _BINDS
         end = m.end()
-    return line
+    return line[:end]
 
 
 def label_of(identifier: str) -> str:
     low = identifier.lower()
-    start = max((x for x in FAMILIES if low.startswith(x)), key=len, default=None)
-    return FAMILIES[start] if start else "other"
+    name = max((x for x in FAMILIES if low.startswith(x) and _AFTER.fullmatch(low, len(x))), key=len, default=None)
+    return FAMILIES[name] if name else "other"
 
 
 def evaluate(expression: str, free: frozenset[str] = FREE) -> tuple[set[str], bool]:

@@ -10,7 +10,8 @@ The fit takes at most `most` labelled rows, those with the smallest hash of thei
 id: a documented bound, so that it fits one task however many labels there are.
 Every row is scored, on its whole text, which is the only input. Null and empty
 texts get the score of no features. Rows whose label is null take no part, an id
-labelled twice counts with its smallest label. Without labels every score is 0.5;
+labelled twice counts with its smallest label, an id with several texts with the one
+whose features come first; each id is one row before anything is gathered. Without labels every score is 0.5;
 with one class alone it is that class. Repeated rows each give a row.
 """
 
@@ -202,6 +203,7 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, label_col: str = "
         yield pa.RecordBatch.from_arrays([pa.array([pack(model)], pa.binary())], ["model"])
 
     rows = some.select(id_col, text_col, "_label").mapInArrow(indicators, f"_id {docs.schema[id_col].dataType.simpleString()}, _label int, _features binary")
+    rows = rows.groupBy("_id").agg(F.min("_label").alias("_label"), F.min("_features").alias("_features"))  # `most` rows at most
     made = rows.repartition(1).mapInArrow(learn, "model binary").collect()
     return made[0]["model"] if made else pack({"constant": 0.5})
 
