@@ -15,6 +15,8 @@ def shared_folder(spark: SparkSession) -> str:
         return found.rstrip("/")
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not current.isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tideblock-"))
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
     return current.get().rstrip("/")
