@@ -29,7 +29,7 @@ _BESIDE_SPACE = rf" {_WHITE}|{_WHITE} |\x00|<\|"
 #: What could come out otherwise if A-Z were lower-cased before normalization: marks that join a letter, and special strings.
 _AS_IT_IS = r"[\x{300}-\x{36f}]|<\|"
 #: Pieces that one generation of the memory holds, and the longest piece that is remembered.
-MEMORY = 400_000
+MEMORY = 250_000
 LONGEST = 64
 #: Bytes of text in a slice, and pieces whose ids are gathered at once.
 SLICE_BYTES = 4 << 20
