@@ -47,6 +47,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tasks(spark: SparkSession, rows: int, most: int = 250_000) -> int:
+    """Tasks for so many short rows: one for each `most`, and at least two a core. To coalesce to more than there are changes nothing."""
+    return max(2 * spark.sparkContext.defaultParallelism, -(-rows // most))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """The name, or a longer one that no column of df has."""
     taken = {c.lower() for c in df.columns}

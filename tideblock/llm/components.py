@@ -1,7 +1,9 @@
 """Connected components by alternating large-star and small-star steps.
 
 Every step is a join or an aggregate over links; nothing is gathered. Each round
-is written to the shared folder, so lineage stays short and executors can go.
+is written to the shared folder, so lineage stays short and executors can go. Links
+are few beside documents: the tasks of a round follow from their number, and are
+not as many as the session's shuffles have.
 """
 
 from __future__ import annotations
@@ -9,10 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import tasks, written
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, parts: int) -> DataFrame:
     """Large: each neighbour above a node links to the smallest of the node and its neighbours; small: the node and those below it do."""
     if large:
         near = edges.selectExpr("inline(array(struct(a AS node, b AS other), struct(b AS node, a AS other)))")
@@ -21,7 +23,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     least = near.groupBy("node").agg(F.min("other").alias("low")).selectExpr("node", "least(node, low) AS low")
     joined = near.join(least, "node")
     moved = joined.filter("other > node").selectExpr("other AS a", "low AS b") if large else joined.filter("other != low").selectExpr("other AS a", "low AS b").unionByName(least.selectExpr("node AS a", "low AS b"))
-    return moved.filter("a != b").distinct()
+    return moved.filter("a != b").coalesce(parts).distinct().coalesce(parts)
 
 
 def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -37,7 +39,8 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if tuple(new) == sign or not new[0]:
             break
         sign = tuple(new)
-        now = written(_star(_star(now, large=True), large=False), "links")
+        parts = tasks(now.sparkSession, new[0])
+        now = written(_star(_star(now, True, parts), False, parts), "links")
     else:
         raise RuntimeError(f"links still change after {rounds} rounds")
     return now.selectExpr("a AS node", "b AS root").unionByName(now.selectExpr("b AS node", "b AS root")).distinct()

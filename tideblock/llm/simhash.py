@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bytes_of, sliced, written
+from .common import bytes_of, sliced, tasks, written
 from .components import connected
 
 #: Shingles that are unpacked to bits at once.
@@ -166,17 +166,19 @@ def similar(docs: DataFrame, near: DataFrame, text_col: str = "text", least: flo
     if weights.isEmpty():
         return groups
     sets = _sets(weights, texts, k, "crowd-sets")
-    crowd = written(crowd.select("band", "text_id").join(weights, "text_id").join(sets.drop("hashes"), "text_id"), "crowd")
+    # the rounds see short rows of crowded buckets alone: as many tasks as these need
+    parts = tasks(docs.sparkSession, crowd.count())
+    crowd = written(crowd.select("band", "text_id").join(weights, "text_id").join(sets.drop("hashes"), "text_id").coalesce(parts), "crowd")
     asked = crowd.select("band", "text_id").limit(0)
     ask, by_weight = ASKED, Window.partitionBy("band").orderBy(F.desc("weight"), "text_id")
     while True:
-        now = written(crowd.join(groups.withColumnsRenamed({"node": "fp", "root": "label"}), "fp", "left").withColumn("label", F.coalesce("label", "fp")), "now")
-        largest = now.groupBy("band", "label").agg(F.count("*").alias("n")).groupBy("band").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels"))
+        now = written(crowd.join(groups.withColumnsRenamed({"node": "fp", "root": "label"}), "fp", "left").withColumn("label", F.coalesce("label", "fp")).coalesce(parts), "now")
+        largest = now.groupBy("band", "label").agg(F.count("*").alias("n")).groupBy("band").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("labels")).coalesce(parts)
         opened = largest.filter("labels > 1").select("band", F.col("top.label").alias("main"))
-        left = now.join(opened, "band").join(asked, ["band", "text_id"], "left_anti")
+        left = now.join(opened, "band").coalesce(parts).join(asked, ["band", "text_id"], "left_anti").coalesce(parts)
         if ask > ASKED:  # at first those with most company are asked, whatever their component
             left = left.filter("label != main")
-        picked = written(left.withColumn("nth", F.row_number().over(by_weight)).filter(F.col("nth") <= ask).select("band", "text_id", "fp", "label", "size", *_SIGNS), "asked")
+        picked = written(left.withColumn("nth", F.row_number().over(by_weight)).filter(F.col("nth") <= ask).select("band", "text_id", "fp", "label", "size", *_SIGNS).coalesce(parts), "asked")
         if picked.isEmpty():
             return groups
         others = picked.select("band", F.col("text_id").alias("other"), F.col("fp").alias("other_fp"), F.col("label").alias("other_label"), F.col("size").alias("other_size"), *(F.col(x).alias(f"o{x}") for x in _SIGNS))
@@ -186,7 +188,7 @@ def similar(docs: DataFrame, near: DataFrame, text_col: str = "text", least: flo
         met = now.join(others, "band").filter("label != other_label").filter(sized & far).filter(unlike <= DIFFER)
         found = _alike(written(met.select("text_id", "fp", "other", "other_fp").distinct(), "pairs"), sets, least)
         if not found.isEmpty():
-            groups = written(connected(groups.selectExpr("node AS a", "root AS b").unionByName(found)), "groups")
+            groups = written(connected(groups.selectExpr("node AS a", "root AS b").unionByName(found)).coalesce(parts), "groups")
         asked = asked.unionByName(picked.select("band", "text_id"))
         ask *= 16
 
