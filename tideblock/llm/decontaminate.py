@@ -10,7 +10,8 @@ An item of fewer than 8 words, but not none, is one window. Items with null id o
 null text have no windows. Null and empty documents have no words. Repeated
 documents each give a row; an empty benchmark leaves all documents clean. The
 benchmark is handled in blocks of about BLOCK_BYTES of text, each small enough
-for a worker; with more than one block the documents are read once for each.
+for a worker; with more than one block the documents are read once for each,
+one block after the other: the driver holds one at a time, and what it found is written.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -135,8 +137,8 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[DataFrame]
     return [items.filter(F.pmod(F.xxhash64("name", "item_text"), F.lit(n)) == i) for i in range(n)]
 
 
-def _matched(docs: DataFrame, items: DataFrame, row: str, id_col: str, text_col: str, span: int) -> DataFrame:
-    """Of each row: n_words, runs of hit words, names of the items found."""
+def _matched(docs: DataFrame, items: DataFrame, row: str, id_col: str, text_col: str, span: int) -> tuple[Broadcast, DataFrame]:
+    """The index of the items, and of each row: n_words, runs of hit words, names of the items found."""
     index = docs.sparkSession.sparkContext.broadcast(Index([(r["name"], r["item_text"].encode()) for r in items.collect()], span))
     keys = list(dict.fromkeys([row, id_col]))
 
@@ -152,7 +154,7 @@ def _matched(docs: DataFrame, items: DataFrame, row: str, id_col: str, text_col:
             yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keys), *made], [*keys, "n_words", "runs", "items"])
 
     kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
-    return docs.select(*keys, text_col).mapInArrow(run, f"{kinds}, n_words long, runs array<bigint>, items array<string>")
+    return index, docs.select(*keys, text_col).mapInArrow(run, f"{kinds}, n_words long, runs array<bigint>, items array<string>")
 
 
 _LENGTH = """aggregate(sequence(1, size({0}) div 2), named_struct('total', 0L, 'end', 0L),
@@ -164,13 +166,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """id, n_words, n_hit, n_items, items (names), items_sha256, contaminated of each row of docs."""
     blocks = _blocks(benchmark, item_col, item_text_col)
     if len(blocks) == 1:
-        found = _matched(docs, blocks[0], id_col, id_col, text_col, span)
+        _, found = _matched(docs, blocks[0], id_col, id_col, text_col, span)
     else:  # rows are numbered once, in a written table, so that each block's finds meet again
         rows = written(docs.select(F.monotonically_increasing_id().alias("_row"), id_col, text_col), "documents")
-        parts = [_matched(rows, x, "_row", id_col, text_col, span) for x in blocks]
-        both = parts[0]
-        for x in parts[1:]:
-            both = both.unionByName(x)
+        both = None
+        for x in blocks:
+            index, matched = _matched(rows, x, "_row", id_col, text_col, span)
+            part = written(matched, "found")
+            index.destroy()  # the written table needs it no more
+            both = part if both is None else both.unionByName(part)
         pairs = "transform(sequence(1, size(runs) div 2), i -> struct(runs[2*i-2] AS s, runs[2*i-1] AS e))"
         both = both.withColumn("pairs", F.expr(f"if(size(runs) = 0, array(), {pairs})"))
         found = both.groupBy("_row", id_col, "n_words").agg(
