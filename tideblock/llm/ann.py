@@ -6,7 +6,10 @@ gets zero there. Points join the graph in growing batches: a greedy search propo
 neighbours, pruning with relaxed distances keeps diverse ones, and edges back are
 pruned alike. Nodes that no search could reach get an edge from their nearest
 reachable one. A query runs a beam search in each shard; what it meets is scored
-exactly, in double precision on the original vectors.
+exactly, in double precision on the original vectors. In each shard CHECKED of the
+queries are also held against all its vectors; while fewer than LEAST_FOUND of their
+nearest are met, the beam is doubled, up to the whole shard, so that vectors without
+clusters are found as well.
 
 Equal vectors are one node: of each, the smallest ids are kept as far as a result
 can hold them, counted before anything is shuffled, so a vector that fills a third
@@ -30,6 +33,8 @@ from .common import written
 SHARD_ROWS, GROUP_QUERIES = 8192, 8192
 DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 32, 64, 128, 1.2
 BATCH, EXPANDED = 256, 4
+#: Queries of a shard that are held against all its vectors, and the share of their nearest that the beam must meet.
+CHECKED, LEAST_FOUND = 64, 0.95
 
 
 def _distances(points: np.ndarray, norms: np.ndarray, ids: np.ndarray, queries: np.ndarray) -> np.ndarray:
@@ -195,6 +200,21 @@ def build_index(vectors: DataFrame, k: int, id_col: str, vec_col: str) -> DataFr
     return written(sharded.select("dim", "shard", "n_shards", "vector", "ids").groupBy("dim", "shard", "n_shards").applyInArrow(make, made), "index")
 
 
+def wide_enough(own: np.ndarray, points: np.ndarray, norms: np.ndarray, graph: np.ndarray, entry: int, wanted: np.ndarray, scaled: np.ndarray, k: int, beam: int) -> int:
+    """The beam, doubled until searches meet LEAST_FOUND of the k largest inner products of CHECKED queries spread over `wanted`; `scaled` are the queries as the graph takes them."""
+    picked = np.unique(np.linspace(0, len(wanted) - 1, min(CHECKED, len(wanted))).astype(int))
+    scores = wanted[picked] @ own.T
+    k = min(k, len(own))
+    least = np.partition(scores, -k, axis=1)[:, -k]
+    while beam < len(own):
+        met, _ = beam_search(points, norms, graph, entry, scaled[picked], beam)
+        found = (met >= 0) & (np.take_along_axis(scores, np.maximum(met, 0), 1) >= least[:, None])
+        if np.minimum(found.sum(axis=1), k).mean() >= LEAST_FOUND * k:
+            break
+        beam *= 2
+    return beam
+
+
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", beam: int = SEARCH_BEAM) -> DataFrame:
     """query_id, rank from 1, id and score of the k largest inner products found for each usable row of queries, its own id left out; ties go to smaller ids."""
     index = build_index(vectors.filter(usable(vec_col)).filter(F.col(id_col).isNotNull()), k, id_col, vec_col)
@@ -219,12 +239,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
             graph = np.frombuffer(r["graph"], np.int32).reshape(-1, r["degree"])
             norms, ids, names = (points**2).sum(axis=1), r["ids"], right.column("asked").to_pylist()
             wanted = _matrix(right.column("vector"))
-            width = max(beam, 2 * (k + 1))
+            # a query's scale changes no order of inner products; at the points' scale distances keep their digits
+            unit = wanted / np.sqrt((wanted**2).sum(axis=1, keepdims=True)) * np.sqrt(max(1e-300, float(norms.max())))
+            scaled = np.column_stack((unit, np.zeros(len(wanted)))).astype(np.float32)
+            width = wide_enough(own, points, norms, graph, r["entry"], wanted, scaled, k + 1, max(beam, 2 * (k + 1)))
             for s in range(0, len(wanted), BATCH):
                 q = wanted[s : s + BATCH]
-                # a query's scale changes no order of inner products; at the points' scale distances keep their digits
-                unit = q / np.sqrt((q**2).sum(axis=1, keepdims=True)) * np.sqrt(max(1e-300, float(norms.max())))
-                met, _ = beam_search(points, norms, graph, r["entry"], np.column_stack((unit, np.zeros(len(q)))).astype(np.float32), width)
+                met, _ = beam_search(points, norms, graph, r["entry"], scaled[s : s + BATCH], width)
                 for i, row in enumerate(met):
                     row = row[row >= 0]
                     score = own[row] @ q[i]
