@@ -1,6 +1,7 @@
 """The engine against numpy brute force: series shapes, ranges, defects that must not come back."""
 
 import io
+import itertools
 
 import numpy as np
 import pytest
@@ -387,6 +388,88 @@ def test_verify_notices_changed_rows(spark):
     assert [r.ok for r in s.verify().collect()] == [False]
 
 
+def test_a_store_shows_batches_whole_or_not_at_all(spark, monkeypatch):
+    s = SeriesStore(spark, path_for(spark, "commits"))
+    first, second = series(spark, np.arange(100) * 0.5), series(spark, np.arange(50) * 0.25, range(1000, 1050))
+    with pytest.raises(EngineError):
+        s.rows()
+    s.append(first, batch="a")
+    s._write(second, ())  # a writer that died before its commit
+    with monkeypatch.context() as m:
+        m.setattr(s, "_file_entries", lambda *_: 1 / 0)  # and one before its manifest rows
+        with pytest.raises(ZeroDivisionError):
+            s.append(second)
+    assert s.rows().count() == 100 and s.manifest().agg(F.sum("num_rows")).first()[0] == 100 and len(s.verify().collect()) == 1
+    s.append(second, batch="b")
+    s.append(second, batch="b")
+    assert s.rows().count() == 150
+    with monkeypatch.context() as m:
+        m.setattr(s.commits, "commit", lambda *_: 1 / 0)  # compaction dies before its commit
+        with pytest.raises(ZeroDivisionError):
+            s.compact()
+    assert s.rows().count() == 150 and s.manifest().agg(F.sum("num_rows")).first()[0] == 150
+    old = s.rows()  # a query that began before
+    assert s.compact() == 2 and old.count() == s.rows().count() == 150
+    s.append(second, batch="b")  # its name outlives the compaction
+    assert s.rows().count() == 150 and s.vacuum() == 0 and s.vacuum(keep_hours=-1) >= 4 and s.rows().count() == 150
+    with pytest.raises(EngineError):
+        s.commits.commit(99, remove=[0])  # that batch has ended
+
+
+def test_commits_meet(spark, monkeypatch):
+    from tideblock.sources import commits
+
+    monkeypatch.setattr(commits, "SNAPSHOT", 4)
+    path = path_for(spark, "log")
+    a, b = commits.Commits(spark, path), commits.Commits(spark, path)
+    assert [a.claim(), b.claim(), a.claim()] == [0, 1, 2]
+    late, _ = b.live()
+    assert a.commit(0, ["x"]) and not b.commit(1, ["x"])
+    real, tries = b.live, []
+    monkeypatch.setattr(b, "live", lambda: (late, -1) if not tries.append(1) and len(tries) == 1 else real())  # b has not seen a's commit
+    assert b.commit(1, ["y"]) and len(tries) == 2
+    for i in range(2, 11):
+        assert a.commit(i, [str(i)], remove=[i - 1] if i % 3 == 0 else [])
+    want = {0: ["x"], 1: ["y"], **{i: [str(i)] for i in range(2, 11)}}
+    assert a.live() == ({k: v for k, v in want.items() if k not in (2, 5, 8)}, 10)
+
+
+def test_store_answers_from_statistics_first(spark):
+    rng = np.random.default_rng(3)
+    s = SeriesStore(spark, path_for(spark, "statistics"), options=Options(block_rows=100))
+    t, v = np.arange(3000) * 40_000_000_000, np.sort(rng.normal(size=3000))
+    for k in (0, 1):
+        s.append(series(spark, v[k::2], t[k::2]))
+    kinds = itertools.cycle(("mean", "variance", "count", "max", "min"))
+    for a, b in ((None, None), (int(t[150]) + 1, int(t[2700])), (10**18, None)):
+        for where in (None, (">", float(v[1700])), ("<=", 0.0), ("==", float(v[200])), ("<", -99.0)):
+            for kind in (next(kinds),):
+                own = query.aggregate(s.rows(a, b), kind, "v", a, b, where=where).first()
+                got = s.query(kind, "v", a, b, where).first()
+                assert (got.value if got else 0) == pytest.approx(own.value if own.value is not None else got.value, nan_ok=True) and got.rows_scanned == own.rows_scanned, (a, b, where, kind)
+    assert s.query("count", None, int(t[150]), int(t[2700])).first().value == 2551
+    assert s.query("sum", "v").first().pct_data_read == 0 and s.query("sum", "v", where=(">", float(v[1700]))).first().pct_data_read <= 10
+    # many edges: the rows come by a semi-join within the spans of the range's ends
+    from tideblock.plans import two_tier
+
+    few, two_tier.MOST_FENCES = two_tier.MOST_FENCES, 0
+    try:
+        assert s.query("sum", "v", int(t[150]), int(t[2700])).first().value == pytest.approx(v[150:2701].sum())
+        assert s.query("count", "v", where=(">", 0.1)).first().value == (v > 0.1).sum()
+    finally:
+        two_tier.MOST_FENCES = few
+
+
+def test_a_moved_segment_is_read_once(spark, monkeypatch):
+    t = tier.TieredSeries(spark, path_for(spark, "moved"), warm_blocks=1)
+    t.push(series(spark, np.arange(100)))
+    path = t._segments()[0][0]
+    t.cold.append(spark.read.parquet(path), batch=path.rsplit("/", 1)[1])  # died before the segment was deleted
+    assert t.query("count", "v").first().value == 100 and t.rows().count() == 100
+    t.push(series(spark, np.arange(5), range(200, 205)))
+    assert t.query("sum", "v").first().value == 4950 + 10 and t.info()["rows"] == 5
+
+
 def test_upsert(spark):
     old = spark.createDataFrame([("a", 1), ("b", 2)], "file string, n int")
     assert sorted(map(tuple, upsert(old, spark.createDataFrame([("b", 3), ("c", 4)], "file string, n int")).collect())) == [("a", 1), ("b", 3), ("c", 4)]

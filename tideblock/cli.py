@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .model import EngineError, Options, predicate, value_of
 from .operators import query as q
+from .plans.two_tier import KINDS
 from .sources.readers import read_csv
 from .sources.store import SeriesStore
 
@@ -53,10 +54,14 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def _print(df: DataFrame, out) -> None:
+def _print(df: DataFrame, out, most: int | None = None) -> bool:
+    """Header and rows; True if there are more than the `most` shown."""
     print(",".join(df.columns), file=out)
-    for row in df.toLocalIterator():
+    for i, row in enumerate(df.toLocalIterator()):
+        if i == most:
+            return True
         print(",".join("" if x is None else str(x) for x in row), file=out)
+    return False
 
 
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None, out=None) -> int:
@@ -77,13 +82,20 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None, o
             print(f"checked {got['checked']}, corrupt {got['corrupt']}", file=out)
             return int(got["corrupt"] > 0)
         rows, names = store.rows(args.t_from, args.t_to), column_list(args.columns)
+        # statistics answer an aggregate alone or with a comparison of its own column
+        own = args.where and names == [args.where[0]]
+        if args.function in KINDS and (names or args.function == "count") and (own or not args.where):
+            for c in names or []:
+                value_of(rows, c)
+            _print(store.query(args.function, names[0] if names else None, args.t_from, args.t_to, (args.where[1], float(args.where[2])) if own else None), out)
+            return 0
         if args.where:
             column, op, value = args.where
             rows = rows.filter(predicate(value_of(rows, column), op, float(value)))
         if args.function == "count":
             got = q.count(rows, args.t_from, args.t_to)
         elif args.function == "scan":
-            got = q.scan(rows.drop("period_key", "block_id", "ordinal", "batch"), names, args.t_from, args.t_to, args.limit)
+            got = q.scan(rows.drop("period_key", "block_id", "ordinal", "batch"), names, args.t_from, args.t_to, args.limit + 1)
         elif args.function == "value_at":
             got = q.value_at(rows.drop("period_key", "block_id", "ordinal", "batch"), args.at if args.at is not None else args.t_from, names)
         elif not names:
@@ -92,7 +104,8 @@ def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None, o
             got = q.downsample(rows, names[0], args.points, args.t_from, args.t_to).orderBy("i").drop("i")
         else:
             got = q.aggregate(rows, args.function, names[0], args.t_from, args.t_to)
-        _print(got, out)
+        if _print(got, out, args.limit if args.function == "scan" else None):
+            print(f"only the first {args.limit} rows are shown; --limit shows more", file=sys.stderr)
         return 0
     except EngineError as e:
         print(f"error: {type(e).__name__}: {e}", file=sys.stderr)

@@ -433,7 +433,15 @@ for _kind in _AGG_SQL:
     _own = f"SELECT round({_AGG_SQL[_kind]}, {_DIGITS.get(_kind, 6)}) AS value, count(value) AS rows_scanned FROM events"
     _add(f"manifest_{_kind}", lambda spark, d, kind=_kind: _value_only(store(spark, d).manifest_query(kind, "value", LO_NS, HI_NS), kind), f"{_own} WHERE {_RANGE}")
     _add(f"partition_{_kind}", lambda spark, d, kind=_kind: _value_only(query.aggregate(store(spark, d).rows(LO_NS, HI_NS), kind, "value", LO_NS, HI_NS), kind), f"{_own} WHERE {_RANGE}")
+    _add(f"store_query_{_kind}", lambda spark, d, kind=_kind: _value_only(store(spark, d).query(kind, "value", LO_NS, HI_NS), kind), f"{_own} WHERE {_RANGE}")
     _add(f"union_warm_cold_{_kind}", lambda spark, d, kind=_kind: _value_only(tiered(spark, d).query(kind, "value"), kind), _own)
+for _name, _op in NAMED.items():
+    _sign, _k = ("=", 6.55) if _op == "==" else (_op, THRESHOLD)
+    _add(
+        f"store_mean_where_{_name}",
+        lambda spark, d, where=(_op, _k): _value_only(store(spark, d).query("mean", "value", LO_NS, HI_NS, where), "mean"),
+        f"SELECT round(avg(value), 6) AS value, count(value) AS rows_scanned FROM events WHERE {_RANGE} AND value {_sign} {_k}",
+    )
 _add("compaction_equivalence", lambda spark, d: compacted(spark, d).rows().select("ts_ns", "value"), f"SELECT {_NS} AS ts_ns, value FROM events")
 _add("compaction_batches", lambda spark, d: compacted(spark, d).manifest().agg(F.count_distinct("batch").alias("batches"), F.sum("num_rows").alias("num_rows")), "SELECT CAST(1 AS BIGINT) AS batches, count(*) AS num_rows FROM events")
 _add(
@@ -442,7 +450,13 @@ _add(
     f"SELECT 'value' AS col, 'DECIMAL' AS codecs, CAST(count(*) AS BIGINT) AS num_rows, min({_NS}) AS ts_first, max({_NS}) AS ts_last FROM events",
 )
 _add("verify", lambda spark, d: store(spark, d).verify().agg(F.count("*").alias("checked"), F.count_if(~F.col("ok")).alias("corrupt")), f"SELECT CAST(sum(ceil(n / 4096.0)) AS BIGINT) AS checked, CAST(0 AS BIGINT) AS corrupt FROM (SELECT t // 86400000000000 AS day, t < {CUT_NS} AS early, count(*) AS n FROM (SELECT {_NS} AS t FROM events) GROUP BY ALL)")
-_add("warm_info", lambda spark, d: spark.createDataFrame([tiered(spark, d).info()], "blocks long, bytes long, rows long, oldest long, newest long"), None)
+_add(
+    "warm_info",
+    lambda spark, d: spark.createDataFrame([tiered(spark, d).info()], "blocks long, bytes long, rows long, oldest long, newest long").select("blocks", "rows", "oldest", "newest", (F.col("bytes") > 0).alias("has_bytes")),
+    f"""WITH g AS (SELECT CASE WHEN t < {LO_NS} THEN 0 WHEN t < {CUT_NS} THEN 1 ELSE 2 END AS seg, count(*) AS n, min(t) AS a, max(t) AS b, CAST(ceil(count(*) / 4096.0) AS BIGINT) AS k FROM (SELECT {_NS} AS t FROM events) GROUP BY 1),
+w AS (SELECT *, sum(k) OVER (ORDER BY seg DESC) AS upto FROM g)
+SELECT CAST(sum(k) AS BIGINT) AS blocks, CAST(sum(n) AS BIGINT) AS "rows", min(a) AS oldest, max(b) AS newest, TRUE AS has_bytes FROM w WHERE upto <= 2 OR seg = (SELECT max(seg) FROM g)""",
+)
 
 
 def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..model import BLOCK_ROWS, Options
+from ..model import BLOCK_ROWS, Options, in_range, predicate, value_of
 from ..operators.query import aggregate
+from ..plans.two_tier import merge, row_parts
 from ..sources.readers import union_series
-from ..sources.store import SeriesStore, _children, _delete
+from ..sources.store import SeriesStore
 
 
 def ingest(stream: DataFrame, store: SeriesStore, checkpoint: str, tie: Sequence[str] = (), trigger: dict | None = None) -> StreamingQuery:
-    """Append a stream of series rows to a store, each micro-batch once: a batch that is tried again replaces its first try."""
+    """Append a stream of series rows to a store, each micro-batch once: a batch that is there is not added again."""
 
     def add(df: DataFrame, epoch: int) -> None:
         if not df.isEmpty():
@@ -65,6 +66,8 @@ class TieredSeries:
     A push is a segment, written to the warm folder, so that it outlives the session
     and is read by every query. Beyond `warm_blocks` blocks or `warm_bytes` bytes the
     oldest segments move to the cold store; `on_evict` gets each segment's rows first.
+    A segment is cold from the commit on that names it, and warm until then: one that
+    a writer died before deleting is not read again, and goes with the next eviction.
     """
 
     def __init__(self, spark: SparkSession, path: str, warm_blocks: int = 256, warm_bytes: int = 16 << 20, period: str = "day", options: Options = Options(), on_evict: Callable[[DataFrame], None] | None = None):
@@ -73,13 +76,14 @@ class TieredSeries:
 
     def _segments(self) -> list[tuple[str, int, int]]:
         """Path, rows and bytes of each warm segment, oldest first; its name holds its place and its rows."""
-        out = []
-        for name in _children(self.spark, f"{self.path}/warm"):
-            path = f"{self.path}/warm/{name}"
-            jvm = self.spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            size = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
-            out.append((path, int(name.split("-")[1]), size))
+        commits, out = self.cold.commits, []
+        cold = {x for names in commits.live()[0].values() for x in names}
+        for name in commits.children(f"{self.path}/warm"):
+            fs, p = commits._at(f"{self.path}/warm/{name}")
+            if name in cold:
+                fs.delete(p, True)  # moved before, by a writer that did not live to delete it
+            elif not name.startswith("."):
+                out.append((f"{self.path}/warm/{name}", int(name.split("-")[1]), fs.getContentSummary(p).getLength()))
         return out
 
     def push(self, df: DataFrame) -> None:
@@ -89,7 +93,10 @@ class TieredSeries:
         n = rows.count()
         if not n:
             return
-        rows.write.parquet(f"{self.path}/warm/{place:012d}-{n}-{uuid.uuid4().hex[:8]}")
+        name = f"{place:012d}-{n}-{uuid.uuid4().hex[:8]}"
+        rows.write.parquet(f"{self.path}/warm/.{name}")
+        fs, beside = self.cold.commits._at(f"{self.path}/warm/.{name}")
+        fs.rename(beside, self.cold.commits._at(f"{self.path}/warm/{name}")[1])  # whole from its first sight on
         self._evict()
 
     def _evict(self) -> None:
@@ -102,8 +109,9 @@ class TieredSeries:
         df = self.spark.read.parquet(path)
         if self.on_evict:
             self.on_evict(df)
-        self.cold.append(df)
-        _delete(self.spark, path)
+        self.cold.append(df, batch=path.rsplit("/", 1)[1])
+        fs, p = self.cold.commits._at(path)
+        fs.delete(p, True)
 
     def warm_rows(self) -> DataFrame | None:
         have = self._segments()
@@ -112,11 +120,21 @@ class TieredSeries:
     def rows(self, t_from: int | None = None, t_to: int | None = None) -> DataFrame:
         """Cold and warm rows."""
         warm = self.warm_rows()
-        cold = self.cold.rows(t_from, t_to).drop("period_key", "block_id", "ordinal", "batch") if _children(self.spark, f"{self.path}/cold/rows") else None
+        cold = None if self.cold.is_empty() else self.cold.rows(t_from, t_to).drop("period_key", "block_id", "ordinal", "batch")
         return union_series(*[x for x in (cold, warm) if x is not None])
 
-    def query(self, kind: str, column: str | None = None, t_from: int | None = None, t_to: int | None = None, **rest) -> DataFrame:
-        return aggregate(self.rows(t_from, t_to), kind, column, t_from, t_to, **rest)
+    def query(self, kind: str, column: str | None = None, t_from: int | None = None, t_to: int | None = None, where: tuple[str, float] | None = None) -> DataFrame:
+        """An aggregate of cold and warm rows; the cold ones are answered from statistics first."""
+        warm = self.warm_rows()
+        if self.cold.is_empty() or column is None:
+            return aggregate(self.rows(t_from, t_to), kind, column, t_from, t_to, where=where)
+        if warm is None:
+            return self.cold.query(kind, column, t_from, t_to, where)
+        parts, total = self.cold.parts(column, t_from, t_to, where)
+        inside = warm.filter(in_range(F.col("ts_ns"), t_from, t_to))
+        v = value_of(inside, column)
+        parts = parts.unionByName(row_parts(inside, F.when(predicate(v, *where), v) if where else v))
+        return merge(parts, kind, (), total + warm.agg(F.count("*")).scalar())
 
     def sync(self) -> None:
         """Move every warm segment to the cold store."""
