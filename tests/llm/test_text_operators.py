@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -522,3 +523,53 @@ def test_passages_of_a_few_hundred_ids_are_shared():
             parts.append({x[s:e].tobytes() for s, e in zip([0, *ends], ends, strict=False)})
         shared += bool(parts[0] & parts[1])
     assert shared >= 120
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_texts_cut_and_gathered_in_blocks_give_the_same_ids(path, monkeypatch):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice([*"abZ.,'é\n", " ", " ", "  ", "word", "<|endoftext|>"]) for _ in range(rng.choice([0, 1, 9, 200]))) for _ in range(300)]
+    column = pa.array([None, *texts, "", None])
+    ids, bounds = tokens.token_ids(path, column)
+    for cut, gathered in ((1, 1), (50, 7), (1000, 64)):
+        monkeypatch.setattr(tokens, "CUT_BYTES", cut)
+        monkeypatch.setattr(tokens, "GATHERED", gathered)
+        got = tokens.token_ids(path, column)
+        assert got[0].tolist() == ids.tolist() and got[1].tolist() == bounds.tolist()
+    want = Tokenizer.from_file(path).encode_batch([x or "" for x in column.to_pylist()], add_special_tokens=False)
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] == [x.ids for x in want]
+
+
+def test_marks_do_not_depend_on_the_block(monkeypatch):
+    ids = np.random.default_rng(6).integers(0, 50_000, 5000, dtype=np.uint32)
+    want, mask = [], (1 << 32) - 1
+    for at in range(token_store.WINDOW, len(ids) + 1):
+        mixed = [int(x) * 0x85EBCA6B & mask for x in ids[at - token_store.WINDOW : at]]
+        if sum((m ^ m >> 15) * int(p) for m, p in zip(mixed, token_store._POWERS, strict=True)) & mask < 1 << 32 - token_store.CUT_BITS:
+            want.append(at)
+    for block in (1, 17, 999, 1 << 15):
+        monkeypatch.setattr(token_store, "HASHED", block)
+        assert token_store.marks_of(ids).tolist() == want == token_store.marks_of(ids.astype(np.uint16)).tolist()
+
+
+def test_a_slice_of_texts_is_encoded_in_little_memory():
+    """Arrow's memory for the ids and numpy's for the marks of a slice, against the bytes of its texts."""
+    rng = random.Random(2)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 8))) for _ in range(2000)]
+    texts = pa.array([" ".join(rng.choices(vocabulary, k=700)) for _ in range(1100)])
+    n_bytes = sum(map(len, texts.to_pylist()))
+    tokens.token_ids(BYTE, texts)  # the vocabulary and the pieces are there
+    before, pool = pa.default_memory_pool(), pa.proxy_memory_pool(pa.default_memory_pool())
+    pa.set_memory_pool(pool)
+    try:
+        ids, _ = tokens.token_ids(BYTE, texts)
+    finally:
+        pa.set_memory_pool(before)
+    assert pool.max_memory() <= 3 * n_bytes  # 5.5 times when all texts were cut at once
+    tracemalloc.start()
+    try:
+        token_store.marks_of(ids)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak <= n_bytes  # 6.1 times when all windows were hashed at once

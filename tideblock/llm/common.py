@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -88,6 +89,13 @@ def small_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> It
                 spark.conf.set(k, v)
 
 
+def give_back() -> None:
+    """What this process has freed goes back to the system, as far as the C library can (glibc; elsewhere nothing happens)."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 #: What operators keep in a Python worker from task to task, by name; a worker serves many of them.
 KEPT: dict[str, dict] = {}
 
@@ -96,11 +104,12 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
     """Cut batches so that a slice holds about `most` bytes of the column, one row at least.
 
     A worker keeps only what `keep` names of KEPT, so that one operator's memory does
-    not stay under the next; what Arrow has freed goes back to the system after each batch.
+    not stay under the next, nor with the C library; what Arrow has freed goes back to the system after each batch.
     """
     for name, kept in KEPT.items():
-        if name != keep:
+        if name != keep and kept:
             kept.clear()
+            give_back()
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
         start = total = 0

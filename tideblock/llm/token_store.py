@@ -43,13 +43,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import delete_path, path_bytes, scratch_path, sliced, small_batches, written
+from .common import delete_path, give_back, path_bytes, scratch_path, sliced, small_batches, written
 from .tokens import SLICE_BYTES, token_ids
 
 WINDOW, LEAST, MOST, CUT_BITS = 16, 64, 4096, 8
 VERSION = 2
 #: Encoded bytes that go to one file of documents.
 FILE_BYTES = 128 << 20
+#: Places whose windows are hashed at once.
+HASHED = 1 << 15
 _POWERS = np.array([pow(0x9E3779B1, WINDOW - j, 1 << 32) for j in range(WINDOW)], np.uint32)
 _SHARED = pa.struct([("place", pa.int32()), ("hash", pa.binary())])
 _KEY = pa.struct([("a", pa.int64()), ("b", pa.int64())])
@@ -58,15 +60,17 @@ _DOC = "n_tokens long, sizes array<int>, shared array<struct<place:int,hash:bina
 
 def marks_of(ids: np.ndarray) -> np.ndarray:
     """Places after which the rolling hash of the last WINDOW ids allows a cut, over any stretch of ids."""
-    n = len(ids) - WINDOW + 1
-    if n <= 0:
-        return np.empty(0, np.int64)
-    mixed = ids.astype(np.uint32) * np.uint32(0x85EBCA6B)
-    mixed ^= mixed >> np.uint32(15)
-    h = mixed[:n] * _POWERS[0]
-    for j in range(1, WINDOW):
-        h += mixed[j : j + n] * _POWERS[j]
-    return np.flatnonzero(h < np.uint32(1 << 32 - CUT_BITS)) + WINDOW
+    found = [np.empty(0, np.int64)]
+    for s in range(0, len(ids) - WINDOW + 1, HASHED):  # so that what is hashed stays in a core's cache
+        mixed = ids[s : s + HASHED + WINDOW - 1].astype(np.uint32)
+        mixed *= np.uint32(0x85EBCA6B)
+        mixed ^= mixed >> np.uint32(15)
+        n = len(mixed) - WINDOW + 1
+        h = mixed[:n] * _POWERS[0]
+        for j in range(1, WINDOW):
+            h += mixed[j : j + n] * _POWERS[j]
+        found.append(np.flatnonzero(h < np.uint32(1 << 32 - CUT_BITS)) + (s + WINDOW))
+    return np.concatenate(found)
 
 
 def cuts(n: int, marks: list[int]) -> list[int]:
@@ -97,25 +101,28 @@ def _encoded(docs: DataFrame, vocabulary: str, end_id: int, width: int, id_col:
 
     def run(batches):
         press = zstandard.ZstdCompressor(level=1)
-        for part in sliced(batches, text_col, SLICE_BYTES, "tokens"):
-            own, bounds = token_ids(vocabulary, part.column(text_col))
+
+        def encoded(part):  # what a slice has needed is gone, and the system's again, before the next one is encoded
+            give_back()
+            ids, bounds = token_ids(vocabulary, part.column(text_col))
+            if width == 2 and max(end_id, int(ids.max(initial=0))) > 0xFFFF:
+                raise ValueError("an id does not fit the width")
             ends = bounds[1:]
-            ids = np.insert(own, ends, end_id)  # every document with its end id
+            ids = ids.astype(f"<u{width}")
+            ids = np.insert(ids, ends, end_id)  # every document with its end id
             ends = ends + np.arange(1, len(ends) + 1)
             starts = np.concatenate(([0], ends[:-1]))
-            if width == 2 and len(ids) and int(ids.max()) > 0xFFFF:
-                raise ValueError("an id does not fit the width")
-            data, marks = memoryview(ids.astype(f"<u{width}")).cast("B"), marks_of(ids)
+            data, marks = memoryview(ids).cast("B"), marks_of(ids)
             marks = marks[marks - WINDOW >= starts[np.searchsorted(starts, marks - 1, "right") - 1]]  # no window over two documents
             first = np.searchsorted(marks, starts, "right").tolist()
             last = np.searchsorted(marks, ends, "left").tolist()
             counts, sizes, keys, payloads, roots = [0], [], [], [], []
             for s, e, a, b in zip(starts.tolist(), ends.tolist(), first, last, strict=True):
-                at, leaves = s * width, []
-                for n in np.diff(cuts(e - s, (marks[a:b] - s).tolist()), prepend=0).tolist():
-                    leaves.append(hashlib.sha256(data[at : at + n * width]).digest())
-                    sizes.append(n)
-                    at += n * width
+                at, leaves = 0, []
+                for end in cuts(e - s, (marks[a:b] - s).tolist()):
+                    leaves.append(hashlib.sha256(data[(s + at) * width : (s + end) * width]).digest())
+                    sizes.append(end - at)
+                    at = end
                 keys += [x[:16] for x in leaves]
                 counts.append(len(sizes))
                 payloads.append(press.compress(data[s * width : e * width]))
@@ -124,7 +131,9 @@ def _encoded(docs: DataFrame, vocabulary: str, end_id: int, width: int, id_col:
             halves = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
             pairs = pa.StructArray.from_arrays([pa.array(halves[:, 0]), pa.array(halves[:, 1])], fields=list(_KEY))
             columns = [part.column("_row"), part.column(id_col), pa.array(ends - starts), pa.ListArray.from_arrays(counts, pa.array(sizes, pa.int32())), pa.ListArray.from_arrays(counts, pairs), pa.array(payloads, pa.binary()), pa.array(roots, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "id", "n_tokens", "sizes", "keys", "payload", "root"])
+            return pa.RecordBatch.from_arrays(columns, ["row", "id", "n_tokens", "sizes", "keys", "payload", "root"])
+
+        yield from map(encoded, sliced(batches, text_col, SLICE_BYTES, "tokens"))
 
     return docs.select(F.monotonically_increasing_id().alias("_row"), id_col, text_col).mapInArrow(run, f"row long, id {kind}, n_tokens long, sizes array<int>, keys array<struct<a:long,b:long>>, payload binary, root binary")
 
@@ -196,7 +205,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, wi
     marks.write.option("compression", "zstd").parquet(marks_path)  # as the range of ids is sampled first
     marks = spark.read.schema(marks.schema).parquet(marks_path)
     both = staged.drop("keys").withColumns({"place": F.lit(None).cast("int"), "owner": F.lit(None).cast("boolean")}).unionByName(marks, allowMissingColumns=True)
-    parts = max(spark.sparkContext.defaultParallelism, -(-path_bytes(spark, staged_path) // FILE_BYTES))
+    parts = max(2 * spark.sparkContext.defaultParallelism, -(-path_bytes(spark, staged_path) // FILE_BYTES))  # a task sorts its part in memory
     order = [F.col("id").asc_nulls_first(), F.col("row")]
     ordered = both.repartitionByRange(parts, *order).sortWithinPartitions(*order, F.col("place").asc_nulls_last())
     rows = ordered.select("row", "id", "n_tokens", "sizes", "payload", "root", "place", "owner").mapInArrow(_arrange(width), f"kind string, row long, id {kind}, file int, local_start long, {_DOC}, hash binary")

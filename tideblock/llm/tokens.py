@@ -31,8 +31,9 @@ _AS_IT_IS = r"[\x{300}-\x{36f}]|<\|"
 #: Pieces that one generation of the memory holds, and the longest piece that is remembered.
 MEMORY = 250_000
 LONGEST = 64
-#: Bytes of text in a slice, and pieces whose ids are gathered at once.
+#: Bytes of text in a slice, bytes of it that are cut at once, and pieces whose ids are gathered at once.
 SLICE_BYTES = 4 << 20
+CUT_BYTES = 1 << 19
 GATHERED = 1 << 17
 #: Pieces that go to the library in one call.
 ASKED = 8192
@@ -158,11 +159,26 @@ def _worker(path: str, kind: str) -> Remembering:
 
 
 def _pieces(own: Remembering, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Ends of the texts among their pieces (from 0 on), number of each piece, and the different pieces."""
-    whole = texts.cast(pa.large_string()).take(pa.array(np.arange(len(texts))))  # a copy without offset, as ascii_lower misplaces those of slices
-    cut = own.cut(pc.fill_null(whole, ""))
-    flat = cut.flatten().dictionary_encode()
-    return np.asarray(cut.offsets) - cut.offsets[0].as_py(), flat.indices.to_numpy(), flat.dictionary.to_numpy(zero_copy_only=False).tolist()
+    """Ends of the texts among their pieces (from 0 on), number of each piece, and the different pieces.
+
+    Some texts are cut at a time, and numbered before the next are, so that a slice is
+    never held in all its forms.
+    """
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    blocks = (np.cumsum(sizes, dtype=np.int64) - sizes) // CUT_BYTES  # by where a text begins
+    at = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(texts)]
+    bounds, found, total = [np.zeros(1, np.int64)], [], 0
+    for a, b in zip(at, at[1:], strict=False):
+        whole = texts.slice(a, b - a).cast(pa.large_string()).take(pa.array(np.arange(b - a)))  # a copy without offset, as ascii_lower misplaces those of slices
+        cut = own.cut(pc.fill_null(whole, ""))
+        found.append(cut.flatten().dictionary_encode())
+        bounds.append(np.asarray(cut.offsets)[1:] - cut.offsets[0].as_py() + total)
+        total += len(found[-1])
+    flat = pa.chunked_array(found).unify_dictionaries()
+    numbers, pieces = np.concatenate([x.indices.to_numpy() for x in flat.chunks]), flat.chunk(0).dictionary.to_numpy(zero_copy_only=False).tolist()
+    del cut, flat, found, whole
+    pa.default_memory_pool().release_unused()  # before ids are gathered, outside Arrow
+    return np.concatenate(bounds), numbers, pieces
 
 
 def token_ids(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -177,14 +193,16 @@ def token_ids(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
     first = np.cumsum(sizes) - sizes
     known = np.frombuffer(b"".join(values), "<u4")
-    ends = np.concatenate(([0], np.cumsum(sizes[numbers])))
-    out = np.empty(int(ends[-1]), np.uint32)
-    for s in range(0, len(numbers), GATHERED):
-        some = numbers[s : s + GATHERED]
+    blocks = [numbers[s : s + GATHERED] for s in range(0, len(numbers), GATHERED)]
+    out, starts, s, a = np.empty(sum(int(sizes[x].sum()) for x in blocks), np.uint32), np.zeros(len(bounds), np.int64), 0, 0
+    for some in blocks:
         n = sizes[some]
-        a, b = int(ends[s]), int(ends[s + len(some)])
-        out[a:b] = known[np.repeat(first[some] - (ends[s : s + len(some)] - a), n) + np.arange(b - a)]
-    return out, ends[bounds]
+        ends = np.cumsum(n)
+        out[a : a + ends[-1]] = known[np.repeat(first[some] - ends + n, n) + np.arange(ends[-1])]
+        i, j = np.searchsorted(bounds, (s, s + len(some)), "right")  # texts that begin after the block's first piece and not after its end
+        starts[i:j] = ends[bounds[i:j] - s - 1] + a
+        s, a = s + len(some), a + int(ends[-1])
+    return out, starts
 
 
 def token_counts(path: str, texts: pa.Array) -> np.ndarray:
