@@ -572,3 +572,24 @@ def test_pla_value_at_sees_every_position(spark, small, monkeypatch):
     for wrong in (lambda x: x.withColumn("value", F.when(F.col("ordinal") == 5, 1e9).otherwise(F.col("value"))), lambda x: x.filter("ordinal != 5")):
         monkeypatch.setattr(algebra, "pieces_value_at", lambda *a, wrong=wrong: wrong(whole(*a)))
         assert [tuple(r)[1] for r in registry.queries()["pla_value_at"](spark, small).collect()] == [False]
+
+
+@pytest.mark.parametrize("name", ["pla_decode_within_epsilon", "cheb_decode_within_epsilon"])
+def test_decoded_rows_are_not_broadcast(spark, small, name, monkeypatch):
+    from tideblock.plans import registry
+
+    monkeypatch.setattr(algebra, "TASK_ROWS", 100, raising=False)
+    got = registry.queries()[name](spark, small)
+    assert [tuple(r) for r in got.collect()] == [(1000, True)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    assert "hashpartitioning(block_id" in plan and ", 10), REPARTITION_BY_NUM" in plan
+
+
+def test_decoded_rows_beside_their_own(spark):
+    v = signals(700)["walk"]
+    rows = B.block_rows(series(spark, v), Options(block_rows=256))
+    pieces = algebra.pieces_of(B.encode_blocks(rows, Options(epsilon=0.5, codecs={"v": "PLA_LINEAR"}, block_rows=256), ["v"]), ["block_id"])
+    got = algebra.decoded_beside(rows.select("block_id", "ordinal", "pos", "v"), pieces.filter("block_id != 1"), ["block_id"], "approx").collect()
+    assert sorted(r["pos"] for r in got) == [*range(256), *range(512, 700)]
+    assert all(abs(r["approx"] - r["v"]) <= 0.5 + 1e-9 and r["v"] == v[r["pos"]] for r in got)

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from ..model import predicate
 from .scalar import cheb3_eval
 
+#: Rows that one task decodes and joins at most, on average.
+TASK_ROWS = 250_000
+
 
 def linear_partial_sum(slope: Column, offset: Column, s: Column, e: Column) -> Column:
     """Sum over places s to e, both included."""
@@ -173,6 +176,19 @@ def pieces_decode(pieces: DataFrame, keys: Sequence[str]) -> DataFrame:
     return pieces.select(*keys, "start", F.posexplode(values).alias("_j", "value")).select(*keys, (F.col("start") + F.col("_j")).alias("ordinal"), "value")
 
 
+def decoded_beside(rows: DataFrame, pieces: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """rows, which have keys and `ordinal`, with the approximated value as `name`; no piece, no row.
+
+    A piece stands for many rows, but Spark takes the decoded table to be about as
+    small as the file of pieces: one task would decode it all for a broadcast. So the
+    pieces are dealt out by the number of rows, and the join sorts both sides.
+    """
+    n = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS))
+    on = [*keys, "ordinal"]
+    back = pieces_decode(pieces.repartition(n, *keys), keys).withColumnRenamed("value", name)
+    return rows.repartition(n, *on).join(back.repartition(n, *on).hint("merge"), on)
+
+
 def pieces_value_at(pieces: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The approximated value and its bound at given ordinals: wanted has keys and `ordinal`; no piece, no row."""
     n, c = F.col("length"), [F.get(F.col("p"), F.lit(i)) for i in range(4)]

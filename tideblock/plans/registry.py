@@ -271,8 +271,7 @@ _add(
 
 def _decoded_error(table: Callable) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        back = algebra.pieces_decode(algebra.pieces_of(table(spark, d), ["block_id"]), ["block_id"])
-        both = back.withColumnRenamed("value", "approx").join(blocked_rows(spark, d).select("block_id", "ordinal", "value"), ["block_id", "ordinal"])
+        both = algebra.decoded_beside(blocked_rows(spark, d).select("block_id", "ordinal", "value"), algebra.pieces_of(table(spark, d), ["block_id"]), ["block_id"], "approx")
         return both.agg(F.count("*").alias("n"), F.bool_and(F.abs(F.col("approx") - F.col("value")) <= 0.5 + 1e-9).alias("within"))
 
     return run
